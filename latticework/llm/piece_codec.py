@@ -153,7 +153,9 @@ class PieceCodec:
         return out
 
 
-codec = functools.lru_cache(maxsize=4)(PieceCodec)
+@functools.lru_cache(maxsize=4)
+def codec(model_path: str) -> PieceCodec:
+    return PieceCodec(model_path)
 
 
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

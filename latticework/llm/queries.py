@@ -24,6 +24,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.language_id import identify_held_out
+
+    return identify_held_out(documents(spark, sf_dir), folds=4, fold=2)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.piece_codec import encode_digests
 
@@ -33,6 +45,8 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_counts": op4_token_counts,
+        "op7_packing": op7_packing,
+        "op8_language_id": op8_language_id,
         "op10_piece_codec": op10_piece_codec,
     }
 

@@ -73,7 +73,9 @@ class WholeTokenCounter:
         return [self.merge([t])[0] if c is None else sum(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
-counter = functools.lru_cache(maxsize=4)(WholeTokenCounter)
+@functools.lru_cache(maxsize=4)
+def counter(vocab_path: str) -> WholeTokenCounter:
+    return WholeTokenCounter(vocab_path)
 
 
 def count_tokens(
