@@ -16,6 +16,7 @@ any group, and a lost task is computed again from its own input rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import re
@@ -55,7 +56,7 @@ class WordIds:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find = re.compile(PRE_TOKEN).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
-        self.memo = Memo(self.encode, cap=500_000)
+        self.memo = Memo(self.encode, cap=800_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,33 +75,29 @@ def words(vocab_path: str) -> WordIds:
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Item numbers of k windows with nearly equal sums, by the largest differencing method.
 
-    A partial partition holds only its windows that have items; the others count as zero. So
-    partitions with room beside each other join without pairing, and the work stays near
-    n log n + n log k.
+    A partial partition lists its windows that have items, by rising sum; the others count as
+    zero. Merging b into a gives b's largest windows a's empty ones, and pairs b's others, falling,
+    with a's, rising; the windows of a beyond stay as they are, so a small b costs little.
     """
-
-    def state(entries: list[tuple[int, object]], most: int, least: int) -> tuple:
-        return (least - most if len(entries) == k else -most, next(order), most, least, entries)
-
-    order = iter(range(2 * len(sizes) + 1))
-    heap = [state([(s, i)], s, s) for i, s in enumerate(sizes)]
+    fresh = iter(range(len(sizes), 1 << 62))
+    heap = [(-s, i, [(s, i, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, most_a, least_a, a = heapq.heappop(heap)
-        _, _, most_b, least_b, b = heap[0]
-        if len(a) + len(b) <= k:
-            if len(a) < len(b):
-                a, b = b, a
-            a.extend(b)
-            heapq.heapreplace(heap, state(a, max(most_a, most_b), min(least_a, least_b)))
-            continue
-        a.sort(key=lambda e: -e[0])
-        b.sort(key=lambda e: e[0])
-        empty = k - len(b)  # b's empty windows take a's fullest
-        paired = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[empty:], b)]
-        merged = a[:empty] + paired + b[len(paired) :]
-        sums = [e[0] for e in merged]
-        heapq.heapreplace(heap, state(merged, max(sums), min(sums)))
+        a = heapq.heappop(heap)[2]
+        b = heap[0][2]
+        if len(a) < len(b):
+            a, b = b, a
+        alone = max(0, len(b) - (k - len(a)))
+        new = b[alone:] + [(x[0] + y[0], next(fresh), (x[2], y[2])) for x, y in zip(a, reversed(b[:alone]))]
+        merged = a[alone:]
+        if len(new) > 16:
+            merged += new
+            merged.sort()
+        else:
+            for entry in new:
+                bisect.insort(merged, entry)
+        least = merged[0][0] if len(merged) == k else 0
+        heapq.heapreplace(heap, (least - merged[-1][0], next(fresh), merged))
 
     def items(tree: object) -> list[int]:
         out, stack = [], [tree]
@@ -109,7 +106,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
             stack.extend(x) if isinstance(x, tuple) else out.append(x)
         return sorted(out)
 
-    full = [items(tree) for _, tree in heap[0][4]] if heap else []
+    full = [items(tree) for _, _, tree in heap[0][2]] if heap else []
     return full + [[] for _ in range(k - len(full))]
 
 
@@ -128,7 +125,7 @@ def pack(sizes: list[int], capacity: int = 4096, slack: float = 0.005) -> list[l
         bins = differencing(sizes, count)
         if count == most or max(sum(sizes[i] for i in b) for b in bins) <= capacity:
             break
-        count = min(most, count + max(1, (most - count) // 2))
+        count = most if count + 1 >= most - 1 else count + (most - count) // 2
     windows = [[(i, 0, sizes[i]) for i in b] for b in bins]
     held = [sum(sizes[i] for i in b) for b in bins]
 
