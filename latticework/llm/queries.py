@@ -18,12 +18,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.toxicity import score_held_out
+
+    return score_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, fold=0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.imatch import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.packing import pack_documents
 
@@ -36,6 +48,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(documents(spark, sf_dir), folds=4, fold=2)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.jaccard_join import link_components
+
+    return link_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.piece_codec import encode_digests
 
@@ -44,9 +62,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
+        "op5_imatch": op5_imatch,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_piece_codec": op10_piece_codec,
     }
 
