@@ -51,7 +51,8 @@ class Memo:
         """The dict, after every key of ``keys`` is in it."""
         if len(self.known) > self.cap + len(self.pinned):
             self.known = dict(self.pinned)
-        missing = list(keys - self.known.keys())
+        known = self.known
+        missing = [k for k in keys if k not in known]  # a set less a keys view would walk the view
         if missing:
             self.known.update(zip(missing, self.compute(missing), strict=True))
         return self.known
