@@ -13,6 +13,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -159,3 +160,23 @@ def identify_held_out(docs: DataFrame, folds: int = 4, fold: int = 2, top: int =
     profiles = learn_profiles(docs.filter(~in_fold("doc_id", folds, fold)), top)
     found = identify(docs, profiles, top)
     return found.select("doc_id", in_fold("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, folds: int = 4, fold: int = 2, top: int = 400, least_score: float = 0.2) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language.
+
+    A document is rejected if it is undetermined, or if its nearest profile is so far that the
+    score is below ``least_score``. Profiles are learned as in identify_held_out; if there is
+    none to learn, every text with a letter stays. Map-only after learning.
+    """
+    profiles = learn_profiles(docs.filter(~in_fold("doc_id", folds, fold)), top)
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        own = Profiles(profiles, top)
+        if not profiles:
+            return pd.Series([bool(t) and len(grams(t)) > 0 for t in texts], dtype=bool)
+        found = [own.nearest(t) for t in texts]
+        return pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in found], dtype=bool)
+
+    return docs.filter(accepted(F.col("text").cast("string")))

@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,3 +171,16 @@ def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     model = learn(docs, labels, outside_fold(folds, fold))
     held = F.coalesce(~outside_fold(folds, fold), F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, least_toxic: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, with a score below ``least_toxic``. Map-only after learning."""
+    model = learn(docs, labels, outside_fold(folds, fold))
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        own, w = Presence(model["units"]), np.array(model["weights"])
+        least = math.log(least_toxic / (1 - least_toxic))
+        return pd.Series([w[own.of(t)].sum() + model["bias"] < least for t in texts], dtype=bool)
+
+    return docs.filter(clean(F.col("text").cast("string")))
