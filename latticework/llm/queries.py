@@ -18,6 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.license_scan import scan_licenses
+
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.lm_scoring import score_corpus
 
@@ -68,6 +74,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
