@@ -48,6 +48,12 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.chroma import search_recordings
+
+    return search_recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.packing import pack_documents
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
         "op5_imatch": op5_imatch,
+        "op6_chroma": op6_chroma,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op9_ngram_jaccard": op9_ngram_jaccard,
