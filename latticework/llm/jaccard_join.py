@@ -16,10 +16,11 @@ distance of two such sketches is a lower bound of their symmetric difference; a
 allowed difference is dropped.
 
 Verification compares the whole texts' sets exactly. In the first round every member of a block
-group is compared with the group's first class only, and components are formed. The second round
-takes groups that still hold several components, and compares, in blocks of bounded size, all
-members of different components; so no link between components stays unseen, while a group of
-copies never becomes all its pairs.
+group is compared with the group's first class only, and components are formed. Two more rounds take the groups that still
+hold several components and compare, in blocks of bounded size, the sketches of all members of
+different components: one verifies a spanning forest of the pairs that pass, so that a group of
+copies never becomes all its pairs, and the last one every pair whose sides are still apart. So no
+link between components stays unseen.
 """
 
 from __future__ import annotations
@@ -202,9 +203,12 @@ def near_enough(percent: int, n_a: str, n_b: str, s_a: str, s_b: str):
     return apart * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)
 
 
-def rivals(members: DataFrame, percent: int) -> DataFrame:
+def rivals(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of classes of one key, of different components, that the sketches don't rule out.
 
+    With ``forest``, a block returns only as many pairs as join what its pairs would join; the
+    others follow in a later round if those pairs prove to be no links.
+
     ``members``: key, class, first, comp, n_shingles, sketch, of unresolved keys. A key with more
     than CHUNK classes is dealt out in blocks; two sides of a block are in one task at a time.
     Pairs with the key's first class have been compared already.
@@ -219,12 +223,17 @@ def rivals(members: DataFrame, percent: int) -> DataFrame:
         c, comp, n, part = (key_rows[x][keep] for x in ("class", "comp", "n", "part"))
         i, j = key_rows["i"][0], key_rows["j"][0]
         bits = np.frombuffer(b"".join(key_rows["sketch"][keep]), U).reshape(len(c), -1)
+        comp = comp.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for x in np.flatnonzero(part == i):
             y = np.flatnonzero((part == j) & (comp != comp[x]) & ((c > c[x]) if i == j else (part == j)))
             if len(y):
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 y = y[apart * (100 + percent) <= (n[y] + n[x]) * (100 - percent)]
+                if forest and len(y):
+                    labels, one = np.unique(comp[y], return_index=True)
+                    y = y[one]
+                    comp[np.isin(comp, labels)] = comp[x]
                 found.append((np.full(len(y), c[x]), c[y]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -323,21 +332,17 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stars = groups.filter("class != first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     side = lambda x: reps.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     likely = stars.join(side("a"), "a").join(side("b"), "b").filter(near_enough(percent, "n_a", "n_b", "s_a", "s_b")).select("a", "b")
-    first_links = kept(verified(likely, reps, plain, n, percent))
-    first_comps = connected(first_links)
-
-    placed = groups.join(first_comps.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select("key")
-    members = placed.join(open_keys, "key").join(reps.select("class", "n_shingles", "sketch"), "class")
-    second_links = kept(verified(rivals(members, percent), reps, plain, n, percent))
-    # Components of components; a class without links is its own.
-    over = lambda x: first_comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-    joined = second_links.join(over("a"), "a", "left").join(over("b"), "b", "left")
-    bridges = kept(joined.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).distinct())
-    second_comps = connected(bridges)
-
-    root = reps.select("class", "doc_id").join(first_comps.select(F.col("node").alias("class"), F.col("comp").alias("comp_1")), "class", "left").withColumn("comp_1", F.coalesce("comp_1", "class"))
-    root = root.join(second_comps.select(F.col("node").alias("comp_1"), "comp"), "comp_1", "left").withColumn("comp", F.coalesce("comp", "comp_1"))
+    comps = connected(verified(likely, reps, plain, n, percent))
+
+    for forest in (True, False):
+        placed = groups.join(comps.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select("key")
+        members = placed.join(open_keys, "key").join(reps.select("class", "n_shingles", "sketch"), "class")
+        links = kept(verified(rivals(members, percent, forest), reps, plain, n, percent))
+        if links.limit(1).count():
+            comps = connected(links.union(comps.select("node", "comp")))
+
+    root = reps.select("class", "doc_id").join(comps.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = root.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = root.join(least, "comp").select("class", "component_id")
     out = sketched.select("doc_id", "n_shingles", "class").join(named, "class", "left")
