@@ -107,7 +107,7 @@ def write_txt(graphs: DataFrame, path: str) -> None:
     v = F.transform("vlabels", lambda label, i: F.concat_ws(" ", F.lit("v"), i.cast("string"), label.cast("string")))
     e = F.array_sort(F.transform("edges", lambda x: F.concat_ws(" ", F.lit("e"), x["src"].cast("string"), x["dst"].cast("string"), x["elabel"].cast("string"))))
     head = F.array(F.concat(F.lit("t # "), F.col("gid").cast("string")))
-    graphs.select(F.concat_ws("\n", F.concat(head, v, e)).alias("value"), "gid").sortWithinPartitions("gid").select("value").write.text(path)
+    graphs.select(F.concat_ws("\n", F.concat(head, v, e)).alias("value"), "gid").orderBy("gid").select("value").write.text(path)
 
 
 def graph_bytes(vlabels: list[int], edges: list) -> bytes:

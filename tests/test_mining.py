@@ -1,0 +1,121 @@
+import random
+from itertools import combinations
+
+import pytest
+
+from latticework.functions import dfscode as D
+from latticework.operators import containment, graphs
+from latticework.plans import mining
+
+# Small graphs with vertex and edge labels, as codes.
+LABELLED = [
+    "(0 1 1 0 0);(1 2 0 0 0);(2 0 0 0 1);(2 3 1 0 0);(3 0 0 2 0);(0 4 0 0 0)",
+    "(0 1 1 0 0);(1 2 0 0 0);(2 0 0 0 1);(2 3 1 0 0);(3 0 0 2 0);(1 4 0 0 0)",
+    "(0 1 1 0 1);(1 2 0 0 0);(2 0 0 0 0);(2 3 0 0 0);(3 4 0 0 0);(4 0 0 0 0)",
+    "(0 1 0 0 0);(1 2 0 0 0);(2 0 0 0 0);(2 3 0 1 0);(3 4 0 0 0);(4 1 0 0 0)",
+    "(0 1 0 0 0);(1 2 1 0 1);(2 0 0 0 0);(2 3 0 1 0);(3 4 0 0 0);(4 2 0 0 0)",
+    "(0 1 0 0 0);(1 2 0 0 0);(2 0 0 0 0);(2 3 0 0 0);(2 4 0 0 0);(4 0 0 0 0)",
+    "(0 1 0 0 1);(1 2 1 1 0);(2 3 0 1 1);(3 0 1 0 0);(3 4 0 0 0)",
+]
+
+
+def random_graph(r):
+    n = r.randint(2, 6)
+    edges = {(r.randrange(v), v): r.randrange(2) for v in range(1, n)}
+    for _ in range(r.randint(0, 3)):
+        a, b = sorted(r.sample(range(n), 2))
+        edges.setdefault((a, b), r.randrange(2))
+    return [r.randrange(3) for _ in range(n)], [(a, b, el) for (a, b), el in sorted(edges.items())]
+
+
+def of_code(text):
+    labels, adjacent = D.to_graph(D.parse(text))
+    return [labels[v] for v in sorted(labels)], sorted((a, b, el) for a in adjacent for b, el in adjacent[a].items() if a < b)
+
+
+def brute_force(collection, minsup):
+    """Smallest codes of all connected subgraphs, by trying every set of edges."""
+    found = {}
+    for gid, (labels, edges) in enumerate(collection):
+        own = set()
+        for k in range(1, len(edges) + 1):
+            for chosen in combinations(edges, k):
+                adjacent = {}
+                for a, b, el in chosen:
+                    adjacent.setdefault(a, {})[b] = el
+                    adjacent.setdefault(b, {})[a] = el
+                seen, todo = set(), [chosen[0][0]]
+                while todo:
+                    v = todo.pop()
+                    if v not in seen:
+                        seen.add(v)
+                        todo += adjacent[v]
+                if len(seen) == len(adjacent):
+                    own.add(D.minimum_code(dict(enumerate(labels)), adjacent))
+        for code in own:
+            found.setdefault(code, set()).add(gid)
+    return {c: len(g) for c, g in found.items() if len(g) >= minsup}
+
+
+def table(spark, collection):
+    return spark.createDataFrame([(i, v, e) for i, (v, e) in enumerate(collection)], "gid long, vlabels array<int>, edges array<struct<src:int,dst:int,elabel:int>>")
+
+
+@pytest.mark.parametrize("collection,minsup", [([of_code(t) for t in LABELLED], 3), ([random_graph(random.Random(s)) for s in range(12)], 3)])
+def test_complete_mining_equals_brute_force(spark, collection, minsup):
+    adj = graphs.adjacency_of(table(spark, collection))
+    found = mining.mine_codes(adj, minsup)
+    assert dict(found) == brute_force(collection, minsup)
+    assert [c for c, _ in found] == sorted((c for c, _ in found), key=D.code_key)
+
+
+def test_executor_side_canonicality_and_hooks(spark):
+    collection = [of_code(t) for t in LABELLED]
+    levels = []
+    strategy = mining.Strategy(many=0, on_level=[levels.append])
+    adj = graphs.adjacency_of(table(spark, collection))
+    assert dict(mining.mine_codes(adj, 3, strategy=strategy)) == brute_force(collection, 3)
+    assert [len(x[0][0]) for x in levels] == list(range(1, len(levels) + 1))
+    rows = mining.mine(adj, 3, max_edges=2).collect()
+    assert rows and all(r["n_edges"] <= 2 for r in rows)
+
+
+def test_supports_are_checked():
+    with pytest.raises(ValueError):
+        mining.check_support(0)
+    with pytest.raises(ValueError):
+        mining.check_support(5, 5, strict=True)
+    mining.check_support(5, 5)
+
+
+def test_growth_needs_no_exchange_but_the_count(spark):
+    collection = [random_graph(random.Random(s)) for s in range(6)]
+    adj = graphs.adjacency_of(table(spark, collection)).repartition("gid").persist()
+    adj.count()
+    code = ((0, 1, 0, 0, 0),)
+    seeds = spark.createDataFrame([(0, 0, 0, 0)], "pid int, fl int, el int, tl int")
+    places = spark.createDataFrame(mining.slots(0, code), mining.SLOTS)
+    with mining.co_partitioned(spark):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = mining.extension_support(mining.extensions(mining.first_embeddings(adj, seeds), adj, places))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    adj.unpersist()
+    above = plan.split("InMemoryRelation")[0]
+    assert above.count("Exchange hashpartitioning") == 1
+
+
+def test_containing(spark):
+    collection = [random_graph(random.Random(s)) for s in range(20)]
+    adj = graphs.adjacency_of(table(spark, collection))
+    code = ((0, 1, 0, 0, 1), (1, 2, 1, 0, 2))
+    expected = set()
+    for gid, (labels, edges) in enumerate(collection):
+        adjacent = {}
+        for a, b, el in edges:
+            adjacent.setdefault(a, {})[b] = el
+            adjacent.setdefault(b, {})[a] = el
+        if D.contains(dict(enumerate(labels)), adjacent, code):
+            expected.add(gid)
+    assert {r["gid"] for r in containment.containing(adj, code).collect()} == expected
