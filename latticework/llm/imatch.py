@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.llm.components import kept
+
 PLACE_BITS = 20
 WIDTH = 6  # hexadecimal digits of one value
 NONE = "-" * WIDTH
@@ -101,21 +103,34 @@ def likeness(a: Column, b: Column, families: int = 16, levels: int = 6) -> Colum
     return F.when(a == b, F.lit(1.0)).when(a.startswith("=") | b.startswith("=") | a.isNull() | b.isNull(), F.lit(0.0)).otherwise(share)
 
 
-def followed(rows: DataFrame, carried: list[str], bucket_ids: int = 512) -> DataFrame:
-    """Rows with, for each carried column c, ``next_c`` of the row with the next id, the last one's being the first's.
+#: Rows of one id and one bucket number up to which the buckets' starts are broadcast (some 32 MB).
+MOST_BROADCAST = 1_000_000
+
+
+def bucketed(docs: DataFrame, bucket_ids: int = 512) -> DataFrame:
+    """docs with ``bucket`` and ``guest``, so that each row's successor by id is in its bucket.
 
     Ids fall in buckets of ``bucket_ids`` consecutive values, so that no group grows with the
-    table; the first row of each bucket goes to the bucket before it too, where it only serves as
-    a successor. Rows of one id follow each other by the hash of what they carry. Null ids form a
-    sequence of their own, whose last row has no successor.
+    table. The first row of each bucket goes to the bucket before it too (the first one's to the
+    last), as a guest that only serves as a successor. The starts of buckets are broadcast if
+    their count allows, and joined by id otherwise.
     """
     bucket = F.floor(F.col("doc_id") / bucket_ids)
-    starts = rows.select("doc_id").filter("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))
+    starts = docs.select("doc_id").filter("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))
     order = W.orderBy("bucket")  # one row for each bucket
     ends = W.orderBy(F.desc("bucket"))
-    before = starts.withColumn("to", F.coalesce(F.lag("bucket").over(order), F.first("bucket").over(ends))).select("doc_id", "to")
-    guests = rows.join(before, "doc_id").withColumn("bucket", F.col("to")).withColumn("guest", F.lit(1)).drop("to")
-    both = rows.withColumn("bucket", bucket).withColumn("guest", F.lit(0)).unionByName(guests)
+    before = kept(starts.withColumn("to", F.coalesce(F.lag("bucket").over(order), F.first("bucket").over(ends))).select("doc_id", "to"))
+    side = F.broadcast(before) if before.count() <= MOST_BROADCAST else before
+    guests = docs.join(side, "doc_id").withColumn("bucket", F.col("to")).withColumn("guest", F.lit(1)).drop("to")
+    return docs.withColumn("bucket", bucket).withColumn("guest", F.lit(0)).unionByName(guests)
+
+
+def followed(both: DataFrame, carried: list[str]) -> DataFrame:
+    """Bucketed rows without guests and, for each carried column c, ``next_c`` of the row with the next id.
+
+    The last row's next is the first. Rows of one id follow each other by the hash of what they
+    carry. Null ids form a sequence of their own, whose last row has no successor.
+    """
     w = W.partitionBy("bucket").orderBy("guest", "doc_id", F.xxhash64(*carried))
     return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).filter("guest = 0").drop("bucket", "guest")
 
@@ -131,7 +146,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     lexicon = learn_lexicon(plain)
-    rows = followed(plain.withColumn("fingerprint", fingerprint(F.col("text"), lexicon)), ["text", "fingerprint"])
+    rows = followed(bucketed(plain).withColumn("fingerprint", fingerprint(F.col("text"), lexicon)), ["text", "fingerprint"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.coalesce(F.col("next_text"), F.lit("")).substr(F.lit(1), half))
