@@ -121,7 +121,7 @@ def align(queries: DataFrame, index: DataFrame, probes: int = 48, least_votes: i
     sides = peaks.join(own, "id").join(reps.select("match_id", "match_codes"), "match_id")
     first = F.greatest(F.lit(0), -F.col("match_offset"))
     n = F.least(F.size("codes") - first, F.size("match_codes") - first - F.col("match_offset"))
-    bits = F.zip_with(F.slice("codes", first + 1, n), F.slice("match_codes", first + F.col("match_offset") + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.zip_with(F.slice("codes", first + 1, n), F.slice("match_codes", first + F.col("match_offset") + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # bit_count widens an int with its sign
     error = F.aggregate(bits, F.lit(0), lambda a, b: a + b) / (32.0 * n)
     scored = sides.withColumn("bit_error", error).filter(F.col("bit_error") <= most_error)
     best = scored.groupBy("id").agg(F.min(F.struct("bit_error", "match_id", "match_offset")).alias("b"))
