@@ -74,7 +74,7 @@ class Presence:
         return sorted(set().union(*map(known.__getitem__, words))) if words else []
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
     w = np.zeros(positive.shape[1] + 1)
     w[-1] = math.log(prior / (1 - prior))
