@@ -7,6 +7,7 @@ back_link being the place of the row in the column before. Extension rows are
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,9 +94,10 @@ def occurrence_counts(embeddings: DataFrame) -> DataFrame:
 def dense_ids(rows: DataFrame, id_col: str, out: str) -> DataFrame:
     """id_col and its dense number from 0, in order, without sorting all ids in one task.
 
-    Ids are range partitioned; a partition's numbers start after the ids of those before it.
+    Ids are range partitioned; a partition's numbers start after the ids of those before it. The
+    distinct ids, which are read for the ranges, the sizes and the numbers, are held meanwhile.
     """
-    ids = rows.select(id_col).distinct()
+    ids = rows.select(id_col).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     ranged = ids.repartitionByRange(F.col(id_col)).withColumn("part", F.spark_partition_id())
     local = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(id_col)))
     sizes = local.groupBy("part").agg(F.max("r").alias("n"))

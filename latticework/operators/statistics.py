@@ -18,9 +18,14 @@ def label_sets(adj: DataFrame) -> DataFrame:
 
 
 def database_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: graphs, vertices, edges, averages for each graph, label counts, average degree."""
-    v = vertices.agg(F.count_distinct("gid").alias("n_graphs"), F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("vlabel").alias("n_vlabels"))
-    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("elabel").alias("n_elabels"))
+    """One row: graphs, vertices, edges, averages for each graph, label counts, average degree.
+
+    Each table is read once and pre-added by label; graphs are counted by their vertex 0.
+    """
+    first = (F.col("vid") == 0).cast("long")
+    by_label = vertices.groupBy("vlabel").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("graphs"))
+    v = by_label.agg(F.sum("graphs").alias("n_graphs"), F.sum("n").alias("n_vertices"), F.count(F.lit(1)).alias("n_vlabels"))
+    e = edges.groupBy("elabel").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.count(F.lit(1)).alias("n_elabels"))
     both = v.join(F.broadcast(e))  # one row each
     per = lambda a, b: F.round(F.col(a) / F.col(b), 6)
     return both.select("n_graphs", "n_vertices", "n_edges", "n_vlabels", "n_elabels", per("n_edges", "n_graphs").alias("avg_edges"), per("n_vertices", "n_graphs").alias("avg_vertices"), F.round(2 * F.col("n_edges") / F.col("n_vertices"), 6).alias("avg_degree"))
