@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.llm.components import kept
+
 RATE = 4096
 FRAME, HOP = 1024, 256
 WIDEST = 16
@@ -100,7 +102,7 @@ def fingerprint_recordings(media: DataFrame, id_col: str, source_col: str, load:
     return media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast(source_type).alias("source")).mapInArrow(run, "id long, codes array<int>, class string")
 
 
-def align(queries: DataFrame, index: DataFrame, probes: int = 48, least_votes: int = 2, most_error: float = 0.35) -> DataFrame:
+def align(queries: DataFrame, index: DataFrame, probes: int = 16, least_votes: int = 2, most_error: float = 0.35) -> DataFrame:
     """Each query's best alignment: id, match_id, match_offset, bit_error; queries without one are absent.
 
     Both tables have id, codes, class; recordings with equal codes stand as one, by the smallest
@@ -149,9 +151,9 @@ def search_recordings(vectors: DataFrame, every: int = 20, id_col: str = "vec_id
     alignment's match_id (the smallest id of equal recordings), match_offset and bit_error, null
     if there is none. Repeated rows stay; null ids are no queries.
     """
-    table = fingerprint_recordings(vectors, id_col, source_col, tones)
+    table = kept(fingerprint_recordings(vectors, id_col, source_col, tones))
     asked = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))
     chosen = vectors.filter(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0).dropDuplicates([id_col])
-    found = align(fingerprint_recordings(chosen, id_col, source_col, excerpt), table)
+    found = align(kept(fingerprint_recordings(chosen, id_col, source_col, excerpt)), table)
     out = table.withColumn("is_query", asked).join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), F.size("codes").alias("n_codes"), F.col("class").alias("fingerprint"), "is_query", "match_id", "match_offset", "bit_error")
