@@ -397,6 +397,17 @@ def clustering_coeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.collection_clustering(adjacency(spark, sf_dir))
 
 
+@query("edge_ids", "SELECT gid, src, dst, elabel, CAST(row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS INT) AS edge_id FROM edges")
+def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.edge_ids(both_tables(spark, sf_dir)[1])
+
+
+@query("vertex_degrees", "SELECT gid, vid, (SELECT count(*) FROM adj WHERE adj.gid = v.gid AND src = vid) AS degree FROM vertices v")
+def vertex_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graphs.order_graphs(spark, sf_dir)
+    return graphs.vertex_degrees(graphs.vertices_of(rows), graphs.adjacency_of(rows))
+
+
 @query("gid_dense_remap", "SELECT gid, dense_rank() OVER (ORDER BY gid) - 1 AS dense FROM (SELECT DISTINCT gid FROM edges)")
 def gid_dense_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.dense_ids(both_tables(spark, sf_dir)[1], "gid", "dense")

@@ -7,6 +7,7 @@ adjacency(gid, src, dst, slabel, elabel, dlabel) has both directions with end la
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -91,3 +92,20 @@ def to_rows(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def adjacency(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return adjacency_of(to_rows(vertices, edges))
+
+
+def edge_ids(edges: DataFrame) -> DataFrame:
+    """edges with ``edge_id``: their number from 0 within the graph, by their ends."""
+    ends = [F.least("src", "dst"), F.greatest("src", "dst"), F.col("elabel")]
+    return edges.withColumn("edge_id", F.dense_rank().over(W.partitionBy("gid").orderBy(*ends)) - 1)
+
+
+def vertex_degrees(vertices: DataFrame, adj: DataFrame) -> DataFrame:
+    """gid, vid, degree of every vertex, 0 for one without edges."""
+    degree = adj.groupBy("gid", F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
+    return vertices.select("gid", "vid").join(degree, ["gid", "vid"], "left").select("gid", "vid", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def edge_labels_of(adj: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (gid, src, dst) with the label of the edge between them; pairs without an edge have none and drop out."""
+    return pairs.join(adj.select("gid", "src", "dst", "elabel"), ["gid", "src", "dst"])

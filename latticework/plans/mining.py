@@ -67,9 +67,13 @@ def first_embeddings(adj: DataFrame, seeds: DataFrame) -> DataFrame:
 SLOTS = "pid int, f int, t int, fl int, back boolean, least_el int, least_label int, root_label int, end_label int"
 
 
-def slots(pid: int, code: D.Code, only: str | None = None) -> list[tuple]:
+def slots(pid: int, code: D.Code, only: str | None = None, allowed: set[int] | None = None) -> list[tuple]:
     """Where a pattern may grow: rows of SLOTS.
 
+    ``allowed``: the vertices from which the pattern's parent grew forward often enough. From any
+    other vertex, but one that the last edge has added, the pattern can't either: its embeddings
+    are fewer and its bounds no wider.
+
     Forward from the rightmost vertex to any label from the root's up; forward from a path vertex
     and backward to one only beyond the path edge that leaves it; never backward to the parent,
     nor along an edge that the code has. ``only`` keeps pure, path or backward growth.
@@ -86,7 +90,9 @@ def slots(pid: int, code: D.Code, only: str | None = None) -> list[tuple]:
         f, _, fl, el, tl = code[i]
         if (last, f) not in has and (f, last) not in has:
             out.append(("backward", (pid, last, f, last_label, True, el, tl, root, fl)))
-    return [row for kind, row in out if only in (None, kind)]
+    new = code[-1][1] if D.is_forward(code[-1]) else None
+    open_to = lambda kind, f: kind == "backward" or allowed is None or f in allowed or f == new
+    return [row for kind, row in out if only in (None, kind) and open_to(kind, row[1])]
 
 
 def extensions(embeddings: DataFrame, adj: DataFrame, places: DataFrame) -> DataFrame:
@@ -154,19 +160,25 @@ def mine_codes(adj: DataFrame, minsup: int, max_edges: int | None = None, strate
             level = {i: (((0, 1, r["fl"], r["el"], r["tl"]),), r["support"]) for i, r in enumerate(sorted(seeds, key=lambda r: r[:3]))}
             table = spark.createDataFrame([(i, c[0][2], c[0][3], c[0][4]) for i, (c, _) in level.items()], "pid int, fl int, el int, tl int")
             embeddings = first_embeddings(base, table)
+            allowed: dict[int, set[int] | None] = {}
             while level:
                 found += level.values()
                 for call in own.on_level:
                     call(list(level.values()))
                 if max_edges is not None and len(next(iter(level.values()))[0]) >= max_edges:
                     break
-                places = spark.createDataFrame([s for pid, (c, _) in level.items() for s in slots(pid, c, own.only)], SLOTS)
+                places = spark.createDataFrame([s for pid, (c, _) in level.items() for s in slots(pid, c, own.only, allowed.get(pid))], SLOTS)
                 grown = extensions(embeddings, base, places).persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(grown)
                 rows = sorted(frequent(extension_support(grown), minsup).collect())
                 codes = [level[r["pid"]][0] + ((r["f"], r["t"], r["fl"], r["el"], r["tl"]),) for r in rows]
                 keep = own.canonical(spark, codes)
                 children = [(*r[:6], i) for i, (r, ok) in enumerate(zip(rows, keep, strict=True)) if ok]
+                grew: dict[int, set[int]] = {}
+                for r in rows:
+                    if r["f"] < r["t"]:
+                        grew.setdefault(r["pid"], set()).add(r["f"])
+                allowed = {c[-1]: grew.get(c[0], set()) for c in children}
                 level = {i: (codes[i], rows[i]["support"]) for *_, i in children}
                 table = spark.createDataFrame(children, "pid int, f int, t int, fl int, el int, tl int, child int")
                 embeddings = grow(grown, table)
