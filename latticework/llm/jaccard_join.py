@@ -4,8 +4,8 @@ A document is its set of word n-grams, as 64-bit codes. Equal sets form a class,
 are what is joined. Sets whose similarity reaches the threshold t differ in at most
 (1 - t) / (1 + t) of their summed sizes, so every band of sizes has a greatest difference d.
 
-Candidates. The code space is cut into d + 1 blocks. A block's parity word is the XOR of its
-members' codes: one differing n-gram changes one block, so among d + 1 blocks of two linked
+Candidates. The code space is cut into more than d blocks. A block's parity word is the XOR of its
+members' codes: one differing n-gram changes one block, so among d + 1 filled blocks of two linked
 sets one parity word at least is equal. Sets meet in the band of the larger one; a set enters
 its own band and, if a partner may lie there, the next. Empty blocks aren't joined on: a set
 with so few others that a link could hide behind them also enters with another cut of the code
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,17 @@ class Bands:
         """Greatest symmetric difference of two linked sets, by their summed sizes."""
         return sizes * (100 - self.percent) // (100 + self.percent)
 
+    def blocks(self, band: int) -> int:
+        """Blocks of a band: one more than its greatest difference, and room for those that stay empty.
+
+        The room is twice the number of empty ones to expect in the largest set and three times
+        its deviation, so that nearly every set has enough others in its first cut.
+        """
+        most = self.starts[band + 1] - 1
+        least = int(self.allowed(2 * most)) + 1
+        empty = least * math.exp(-most / least)
+        return least + math.ceil(2 * empty + 3 * math.sqrt(empty))
+
     def keys(self, codes: np.ndarray) -> list[np.ndarray]:
         """Join keys of a sorted, non-empty set in all bands it enters."""
         size = len(codes)
@@ -92,7 +104,7 @@ class Bands:
             partner = min(self.starts[band + 1] - 1, size * 100 // self.percent)
             if partner < self.starts[band]:
                 break
-            blocks = int(self.allowed(2 * (self.starts[band + 1] - 1))) + 1
+            blocks = self.blocks(band)
             d = int(self.allowed(size + partner))
             cut = 0
             while True:
@@ -100,7 +112,7 @@ class Bands:
                 at = np.searchsorted(own_codes, edges(blocks))
                 filled = np.flatnonzero(np.diff(at, append=size))
                 words = np.bitwise_xor.reduceat(own_codes, at[filled])
-                place = filled.astype(U) + U(blocks << 24) + U(cut << 56)
+                place = filled.astype(U) + U(blocks << 24) + U((cut & 0xFF) << 56)
                 out.append(mixed(words ^ mixed(place)))
                 if len(filled) > d:
                     break

@@ -190,6 +190,15 @@ def test_jaccard_of_nothing(spark):
     assert jaccard_join.link_components(table(spark, []).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("size", [1, 2, 4, 5, 20_000, 60_000])
+def test_cuts_stay_few(size, percent):
+    own, r = jaccard_join.bands(percent), np.random.default_rng(size)
+    top = own.starts[next(i for i, s in enumerate(own.starts) if s > size)] - 1  # the fullest set of the band
+    cuts = [own.keys(np.unique(r.integers(0, 2**63, top, dtype=np.uint64) * np.uint64(2))) for _ in range(5)]
+    assert max(map(len, cuts)) <= 5 and sum(map(len, cuts)) <= 15
+
+
 @pytest.mark.parametrize("size", [1, 2, 6, 7, 8, 13, 40, 200])
 def test_linked_sets_share_a_key(size):
     """Any set within the allowed difference shares a key, whatever the blocks that are empty."""
