@@ -1,6 +1,6 @@
 """Benchmark results as three append-only tables under one folder.
 
-databases(iddb, name), experiment_description(idexp, description, gspan_variant, date) and
+databases(iddb, name), experiment_description(idexp, description, variant, date) and
 experiment_result(iddb, idexp, support, execution_time). A row whose key is there already isn't
 written again.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
     "databases": ("iddb int, name string", ["iddb"]),
-    "experiment_description": ("idexp int, description string, gspan_variant string, date timestamp", ["idexp"]),
+    "experiment_description": ("idexp int, description string, variant string, date timestamp", ["idexp"]),
     "experiment_result": ("iddb int, idexp int, support int, execution_time double", ["iddb", "idexp", "support"]),
 }
 
