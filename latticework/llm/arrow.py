@@ -43,7 +43,7 @@ class Memo:
     computed again on demand, so the bound changes speed and never a result.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], pinned: dict | None = None, cap: int = 500_000):
+    def __init__(self, compute: Callable[[list[str]], list], pinned: dict | None = None, cap: int = 300_000):
         self.compute, self.pinned, self.cap = compute, pinned or {}, cap
         self.known: dict = dict(self.pinned)
 

@@ -56,7 +56,7 @@ class WordIds:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find = re.compile(PRE_TOKEN).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
-        self.memo = Memo(self.encode, cap=800_000)
+        self.memo = Memo(self.encode, cap=300_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]

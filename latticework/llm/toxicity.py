@@ -66,7 +66,7 @@ class Presence:
 
     def __init__(self, chosen: list[str]):
         self.place = {u: i for i, u in enumerate(chosen)}
-        self.memo = Memo(lambda words: [tuple({self.place[u] for u in units(w) if u in self.place}) for w in words], cap=400_000)
+        self.memo = Memo(lambda words: [tuple({self.place[u] for u in units(w) if u in self.place}) for w in words], cap=150_000)
 
     def of(self, text: str | None) -> list[int]:
         words = set(WORDS((text or "").lower()))
