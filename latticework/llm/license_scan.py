@@ -1,6 +1,11 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's candidate statements are its lines with one of the words that every template has at
+Whole texts and blocks of words are compared with full licence texts, standard headers and the
+one-sentence templates: where a text has one of a template's phrases of three words, the block
+that lies as the template does about that phrase is a piece, and so is the whole text for a full
+licence. A tag ``SPDX-License-Identifier`` is read as it stands.
+
+In addition, a file's candidate statements are its lines with one of the words that every template has at
 least one of. Each is compared with each template by the cosine of their sparse TF-IDF vectors;
 document frequencies are those of the corpus's own statements. The best statement at or above the
 threshold licenses the file. A licence file, by its name, licenses its directory; a file without
@@ -13,10 +18,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.components import kept
+
 #: Template statements by licence identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -40,6 +48,15 @@ TRIGGER = r"(?i)licen[cs]e|rights reserved|creative commons|permission is hereby
 #: Names of files that license their directory.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice)([.\-].*)?$"
 WORD = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
+#: Full licence texts by identifier, and standard headers.
+FULL_TEXTS = Path(__file__).parent / "licenses"
+#: Every full text, header and template has one of these; texts without any have no piece.
+BLOCK_TRIGGER = r"(?i)licen[cs]e|rights reserved|creative\s+commons|permission|redistribut"
+TAG = r"</?[A-Za-z][^<>]*>"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- \t]*[A-Za-z0-9+)])"
+RESERVED = "Proprietary"
+#: What a piece was compared with; of a file's pieces at the threshold the greatest kind counts.
+SENTENCE, BLOCK, WHOLE = "sentence", "block", "whole"
 
 
 def statements(text: Column) -> Column:
@@ -93,6 +110,86 @@ def best_template(line: Column, idf: dict[str, float], other: float) -> Column:
     return F.transform(F.array(words(line)), of)[0]
 
 
+def block_templates() -> list[tuple[str, str, list[str]]]:
+    """identifier, kind and words of every full text, header and sentence."""
+    full = [(f.stem, WHOLE, f.read_text()) for f in sorted(FULL_TEXTS.glob("*.txt"))]
+    headers = [(*line.split("\t"),) for line in (FULL_TEXTS / "headers.tsv").read_text().splitlines()]
+    texts = full + [(name, BLOCK, text) for name, text in headers] + [(name, SENTENCE, text) for name, text in TEMPLATES]
+    return [(name, kind, re.findall(WORD, re.sub(TAG, " ", text).lower())) for name, kind, text in texts]
+
+
+def block_phrases(templates: list[tuple[str, str, list[str]]], zones: int = 6) -> list[tuple[str, int, int]]:
+    """phrase, template's number and place in it: the rarest of three words in each zone, all of a sentence.
+
+    Several zones are named so that a changed name or year loses one phrase and not the template.
+    """
+    cut = [[" ".join(w[i : i + 3]) for i in range(len(w) - 2)] for _, _, w in templates]
+    seen = Counter(p for phrases in cut for p in phrases)
+    out = []
+    for t, phrases in enumerate(cut):
+        n = len(phrases) if templates[t][1] == SENTENCE else zones
+        for z in range(n):
+            places = range(z * len(phrases) // n, (z + 1) * len(phrases) // n)
+            at = min(places, key=lambda i: (seen[phrases[i]], i))
+            out.append((phrases[at], t, at))
+    return out
+
+
+def match_blocks(files: DataFrame, threshold: float) -> DataFrame:
+    """digest, block struct(kind, score, license) of the texts with a piece at the threshold.
+
+    files: digest, text; equal digests are equal texts. Word counts are damped by their logarithm;
+    document frequencies are those of the pieces and the templates. What comes to the driver is
+    as long as the templates' vocabulary.
+    """
+    spark, templates = files.sparkSession, block_templates()
+    phrases = block_phrases(templates)
+    placed = spark.createDataFrame([(p, t, at, len(templates[t][2]), templates[t][1]) for p, t, at in phrases], "phrase string, t int, place int, n int, kind string")
+    names = sorted({p for p, _, _ in phrases})
+
+    def cut(found: Column) -> Column:
+        threes = F.transform(found, lambda w, i: F.struct(i.alias("at"), F.concat_ws(" ", w, F.get(found, i + 1), F.get(found, i + 2)).alias("phrase")))
+        return F.struct(found.alias("words"), F.filter(threes, lambda x: x["phrase"].isin(names)).alias("hits"))
+
+    texts = files.select("digest", F.transform(F.array(words(F.regexp_replace("text", TAG, " "))), cut)[0].alias("c"))
+    hits = texts.select("digest", "c.words", F.explode("c.hits").alias("hit")).select("digest", "words", "hit.at", "hit.phrase").join(F.broadcast(placed), "phrase")
+    start = F.col("at") - F.col("place")
+    inside = (F.col("kind") != SENTENCE) | ((start >= 0) & (start + F.col("n") <= F.size("words")))
+    blocks = hits.filter(inside).select("digest", "t", start.alias("start"), "n", "words")
+    wholes = hits.filter(F.col("kind") == WHOLE).select("digest", "t", F.lit(0).alias("start"), F.size("words").alias("n"), "words")
+    key = ["digest", "t", "start", "n"]
+    piece = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("n") + F.least("start", F.lit(0)))
+    pieces = kept(blocks.union(wholes).select(*key, piece.alias("piece")).groupBy(*key).agg(F.first("piece").alias("piece")))
+
+    counted = [Counter(w) for _, _, w in templates]
+    own = Counter(w for c in counted for w in c)
+    vocabulary = F.broadcast(spark.createDataFrame([(w,) for w in sorted(own)], "word string"))
+    df = Counter(dict(pieces.select(F.explode(F.array_distinct("piece")).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").count().collect()))
+    n = pieces.count() + len(templates)
+    idf = {w: math.log((1 + n) / (1 + df[w] + own[w])) + 0.1 for w in own}
+    other = math.log(1 + n) + 0.1
+    weights = []
+    for t, c in enumerate(counted):
+        vector = {w: (1 + math.log(k)) * idf[w] for w, k in c.items()}
+        size = math.sqrt(sum(v * v for v in vector.values()))
+        weights += [(t, w, v / size) for w, v in sorted(vector.items())]
+    spread = pieces.select(*key, F.explode("piece").alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k"))
+    spread = spread.join(F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double")), "word", "left")
+    spread = spread.join(F.broadcast(spark.createDataFrame(weights, "t int, word string, weight double")), ["t", "word"], "left")
+    value = (1 + F.log("k")) * F.coalesce("idf", F.lit(other))
+    scored = spread.groupBy(*key).agg((F.sum(value * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(value * value))).alias("score"))
+    kinds = [(t, name, 0 if name == RESERVED else 1 if kind == SENTENCE else 2) for t, (name, kind, _) in enumerate(templates)]
+    scored = scored.join(F.broadcast(spark.createDataFrame(kinds, "t int, license string, kind int")), "t")
+    enough = scored.filter(F.col("score") >= threshold)
+    return enough.groupBy("digest").agg(F.max(F.struct("kind", F.round("score", 9).alias("score"), "license")).alias("block"))
+
+
+def spdx(text: Column) -> Column:
+    """The expression of a text's first SPDX tag; a lone identifier without -only, -or-later and +."""
+    stated = F.regexp_replace(F.trim(F.regexp_extract(text, SPDX, 1)), r"\s+", " ")
+    return F.nullif(F.regexp_replace(stated, r"(?i)^([^ ]+?)(-only|-or-later|\+)$", "$1"), F.lit(""))
+
+
 def url_path(url: Column) -> Column:
     """Host and path of a URL, without scheme, query and fragment; a plain path stays."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), r"[?#].*$", "")
@@ -101,28 +198,36 @@ def url_path(url: Column) -> Column:
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, threshold: float = 0.5) -> DataFrame:
     """Licences of files: id, directory, own_license, own_score, license, origin, from_directory.
 
-    own_license is the best statement's template, if its cosine is at least ``threshold`` (ties
-    by identifier), else null. origin is ``own``, ``inherited`` or ``none``; from_directory tells
+    own_license is, if there is one, the SPDX tag's expression (score 1); else the best full text
+    or header at ``threshold``; else the best sentence, as a line or a block, at ``threshold``
+    (ties by identifier); else null. That all rights are reserved counts after any block's other
+    licence. origin is ``own``, ``inherited`` or ``none``; from_directory tells
     where an inherited licence comes from. A directory is licensed by its licence files, or by a
     file that is the directory itself (a path that ends in a slash); of several the best score
     counts, then the identifier. A null path or text counts as empty; a file at the root has the
     directory "". Null ids and repeated rows stay as they are; an empty table gives an empty one;
     other columns are not read.
     """
-    path = url_path(F.col(f"`{path_col}`"))
+    path, text = url_path(F.col(f"`{path_col}`")), F.col(f"`{text_col}`")
     name = F.element_at(F.split(path, "/"), -1)
     plain = files.select(
         F.col(f"`{id_col}`").alias("id"),
         F.regexp_replace(path, "/*[^/]*$", "").alias("directory"),
         (name.rlike(LICENSE_FILE) | (name == "")).alias("licenses"),
-        statements(F.col(f"`{text_col}`")).alias("lines"),
+        statements(text).alias("lines"),
+        F.when(text.rlike(BLOCK_TRIGGER), F.sha2(text, 256)).alias("digest"),
+        spdx(text).alias("spdx"),
     )
+    blocks = match_blocks(files.select(text.alias("text")).filter(text.rlike(BLOCK_TRIGGER)).select(F.sha2("text", 256).alias("digest"), "text"), threshold)
     idf, other = learn_idf(plain)
     empty = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
     found = F.aggregate(F.transform("lines", lambda line: best_template(line, idf, other)), empty, lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a))
-    scanned = plain.select("id", "directory", "licenses", found.alias("found"))
+    scanned = plain.select("id", "directory", "licenses", "digest", "spdx", found.alias("found")).join(blocks, "digest", "left")
     enough = F.col("found.score") >= threshold
-    scanned = scanned.select("id", "directory", "licenses", F.when(enough, F.col("found.license")).alias("own_license"), F.when(enough, F.col("found.score")).alias("own_score"))
+    later = F.col("found.license") == RESERVED
+    block = F.col("block.score").isNotNull() & ((F.col("block.kind") == 2) | ~F.coalesce(enough, F.lit(False)) | (F.col("block.score") > F.col("found.score")) | (later & (F.col("block.score") >= F.col("found.score"))))
+    pick = lambda name, tagged: F.when(F.col("spdx").isNotNull(), tagged).when(block, F.col(f"block.{name}")).when(enough, F.col(f"found.{name}"))
+    scanned = scanned.select("id", "directory", "licenses", pick("license", F.col("spdx")).alias("own_license"), pick("score", F.lit(1.0)).alias("own_score"))
 
     # A group's files are pre-added in each task, so a directory with a third of all files is a row.
     best = F.max(F.when(F.col("licenses") & F.col("own_license").isNotNull(), F.struct("own_score", "own_license")))

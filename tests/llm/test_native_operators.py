@@ -125,3 +125,33 @@ def test_licences_equal_a_plain_version(spark):
             assert got[i]["origin"] == "inherited" and got[i]["from_directory"] == folder and got[i]["license"] in licensed[folder]
         else:
             assert got[i]["origin"] == "none" and got[i]["license"] is None
+
+
+def test_headers_and_licence_files_are_found(spark):
+    full = {f.stem: f.read_text() for f in license_scan.FULL_TEXTS.glob("*.txt")}
+    headers = [line.split("\t") for line in (license_scan.FULL_TEXTS / "headers.tsv").read_text().splitlines()]
+    rows, want = [], {}
+
+    def add(path, body, name):
+        want[len(rows)] = name
+        rows.append((len(rows), path, body))
+
+    code = "\n".join(f"x{i} = compute(y{i})  # step {i}" for i in range(60))
+    for name, text in full.items():
+        add(f"{name}/LICENSE", "Copyright (c) 2019 A. Person. All rights reserved.\n\n" + text, name)
+        add(f"{name}/src/a.py", code, None)
+    for name, text in headers:
+        lines = re.findall(r".{1,60}(?:\s|$)", text)
+        add("h/a.c", "/*\n * Copyright 2020 A. Person\n" + "".join(f" * {x}\n" for x in lines) + " */\n" + code, name)
+        add("h/a.xml", f"<!-- {text} -->\n<a>{code}</a>", name)
+    add("s/a", "# SPDX-License-Identifier: MIT\n" + code, "MIT")
+    add("s/b", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0")
+    add("s/c", "// SPDX-License-Identifier: Apache-2.0 OR ISC\n", "Apache-2.0 OR ISC")
+    add("s/d", "<p>This text was put together by many people over some years and is licensed under CC BY-SA 4.0 by all of them, whoever they may be.</p>", "CC-BY-SA-4.0")
+    add("s/e", "\n".join("the license of a driver is subject to the terms of the state and permission is given by the office" for _ in range(40)), None)
+    got = {r["id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "id long, path string, body string"), "id", "path", "body").collect()}
+    assert {i: r["own_license"] for i, r in got.items()} == want
+    for i, path, _ in rows:
+        if path.endswith("/src/a.py"):
+            assert (got[i]["license"], got[i]["origin"]) == (path.split("/")[0], "inherited")
+    assert all(re.search(license_scan.BLOCK_TRIGGER, " ".join(w)) for _, _, w in license_scan.block_templates())
