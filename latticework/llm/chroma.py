@@ -16,8 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.components import kept
@@ -102,34 +101,52 @@ def fingerprint_recordings(media: DataFrame, id_col: str, source_col: str, load:
     return media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast(source_type).alias("source")).mapInArrow(run, "id long, codes array<int>, class string")
 
 
-def align(queries: DataFrame, index: DataFrame, probes: int = 16, least_votes: int = 2, most_error: float = 0.35) -> DataFrame:
-    """Each query's best alignment: id, match_id, match_offset, bit_error; queries without one are absent.
+def align_all(queries: DataFrame, index: DataFrame, least_votes: int = 2, most_error: float = 0.35, spread: int = 1000) -> DataFrame:
+    """Every verified alignment: id, match_id, match_offset, bit_error, a row for each query and class of the index.
 
     Both tables have id, codes, class; recordings with equal codes stand as one, by the smallest
-    id. A query probes with its ``probes`` integers that are rarest in the index (ties by value),
-    which is its recall parameter; every recording is indexed. An alignment needs ``least_votes``
-    equal integers at one offset and at most ``most_error`` of the overlap's bits differing. The
-    least bit error wins, then the smaller id.
+    id, and so do queries until the end. A query probes with all of its integers, and every
+    recording is indexed. An integer with more than ``spread`` postings is dealt to as many parts
+    as it needs, so no task has all of them. An alignment needs ``least_votes`` equal integers at
+    one offset and at most ``most_error`` of the overlap's bits differing; every offset with the
+    votes is verified, and of a pair's the one with most bits equal beyond chance counts (at
+    overlaps of one length: the least bit error), then the one nearest to 0. n is the overlap.
     """
     reps = index.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("match_id"), F.first("codes").alias("match_codes"))
     postings = reps.select("match_id", F.posexplode("match_codes").alias("place", "key"))
-    own = queries.filter("class is not null and id is not null").select("id", "codes")
-    keys = own.select("id", F.posexplode("codes").alias("at", "key"))
-    common = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("n", "key", "at"))
-    probed = keys.join(common, "key").withColumn("rank", rank).filter(F.col("rank") <= probes).select("id", "at", "key")
-    votes = probed.join(postings, "key").groupBy("id", "match_id", (F.col("place") - F.col("at")).alias("match_offset")).agg(F.count(F.lit(1)).alias("votes"))
-    peaks = votes.filter(F.col("votes") >= least_votes).groupBy("id", "match_id").agg(F.max(F.struct("votes", -F.abs("match_offset"), "match_offset"))["match_offset"].alias("match_offset"))
-    sides = peaks.join(own, "id").join(reps.select("match_id", "match_codes"), "match_id")
+    named = queries.filter("class is not null and id is not null").select("id", "class", "codes")
+    own = named.groupBy("class").agg(F.first("codes").alias("codes"))
+    keys = own.select("class", F.posexplode("codes").alias("at", "key"))
+    parts = postings.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("parts"))
+    probed = keys.join(parts, "key").select("class", "at", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = postings.join(parts, "key").select("match_id", "place", "key", F.pmod(F.hash("match_id"), "parts").alias("part"))
+    votes = probed.join(dealt, ["key", "part"]).groupBy("class", "match_id", (F.col("place") - F.col("at")).alias("match_offset")).agg(F.count(F.lit(1)).alias("votes"))
+    voted = votes.filter(F.col("votes") >= least_votes)
+    sides = voted.join(own, "class").join(reps.select("match_id", "match_codes"), "match_id")
     first = F.greatest(F.lit(0), -F.col("match_offset"))
     n = F.least(F.size("codes") - first, F.size("match_codes") - first - F.col("match_offset"))
     bits = F.zip_with(F.slice("codes", first + 1, n), F.slice("match_codes", first + F.col("match_offset") + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # bit_count widens an int with its sign
     error = F.aggregate(bits, F.lit(0), lambda a, b: a + b) / (32.0 * n)
-    scored = sides.withColumn("bit_error", error).filter(F.col("bit_error") <= most_error)
-    best = scored.groupBy("id").agg(F.min(F.struct("bit_error", "match_id", "match_offset")).alias("b"))
+    scored = sides.select("class", "match_id", "match_offset", error.alias("bit_error"), n.alias("n")).filter(F.col("bit_error") <= most_error)
+    pairs = scored.groupBy("class", "match_id").agg(F.max(F.struct(agreement(), -F.abs("match_offset"), "match_offset", "bit_error", "n")).alias("b"))
+    return named.select("id", "class").join(pairs, "class").select("id", "match_id", "b.match_offset", "b.bit_error", "b.n")
+
+
+def agreement() -> Column:
+    """What orders alignments: equal bits beyond chance, so that a few equal integers at an edge don't win over a whole excerpt."""
+    return F.round(F.col("n") * (0.5 - F.col("bit_error")), 9).alias("agreement")
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    best = found.groupBy("id").agg(F.max(F.struct(agreement(), -F.col("match_id"), "match_id", "match_offset", "bit_error")).alias("b"))
     return best.select("id", "b.match_id", "b.match_offset", "b.bit_error")
 
 
+def align(queries: DataFrame, index: DataFrame, least_votes: int = 2, most_error: float = 0.35) -> DataFrame:
+    """Each query's best alignment of ``align_all``, then the smaller id. Queries without one are absent."""
+    return best_of(align_all(queries, index, least_votes, most_error))
+
+
 def tones(vector: list[float]) -> np.ndarray:
     """A recording made from a vector: each value is a tone of an eighth of a second, by its size."""
     step = np.floor(np.nan_to_num(np.asarray(vector, np.float64)) * 40).astype(np.int64) % 24

@@ -378,3 +378,19 @@ def test_chroma(spark):
             assert (x["match_id"], x["match_offset"]) == best[1:] and x["bit_error"] == pytest.approx(best[0])
     assert by[7]["fingerprint"] == by[50]["fingerprint"] and by[500]["match_id"] is None and by[540]["n_codes"] == 0
     assert chroma.search_recordings(media.limit(0)).collect() == []
+
+def test_chroma_probes_with_every_integer(spark):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 32, 40, dtype=np.uint32)
+    asked = base.copy()
+    asked[2:] ^= np.uint32(1)  # noise in all integers but two, and these two are frequent
+    index = {0: base}
+    for i in range(1, 21):
+        index[i] = base.copy()
+        index[i][2:] ^= np.uint32(1 << 5 + i)
+    for k in range(2, 40):  # what noise made is rare
+        index[100 + k] = r.integers(0, 1 << 32, 40, dtype=np.uint32)
+        index[100 + k][k // 2] = asked[k]
+    of = lambda rows: spark.createDataFrame([(i, c.view(np.int32).tolist(), str(i)) for i, c in rows.items()], "id long, codes array<int>, class string")
+    assert [x[:3] for x in chroma.align(of({7: asked}), of(index)).collect()] == [(7, 0, 0)]
+    assert {x["match_id"] for x in chroma.align_all(of({7: asked}), of(index), spread=3).collect()} == set(range(21))
