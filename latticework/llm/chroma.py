@@ -166,11 +166,16 @@ def search_recordings(vectors: DataFrame, every: int = 20, id_col: str = "vec_id
 
     Returns, for every row: the id, n_codes, fingerprint, is_query, and for queries the best
     alignment's match_id (the smallest id of equal recordings), match_offset and bit_error, null
-    if there is none. Repeated rows stay; null ids are no queries.
+    if there is none, and partners: every verified alignment with a class of recordings other than
+    its own (match_id, match_offset, bit_error), by match_id. Repeated rows stay; null ids are no
+    queries.
     """
     table = kept(fingerprint_recordings(vectors, id_col, source_col, tones))
     asked = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))
     chosen = vectors.filter(F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0).dropDuplicates([id_col])
-    found = align(kept(fingerprint_recordings(chosen, id_col, source_col, excerpt)), table)
-    out = table.withColumn("is_query", asked).join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.size("codes").alias("n_codes"), F.col("class").alias("fingerprint"), "is_query", "match_id", "match_offset", "bit_error")
+    found = kept(align_all(kept(fingerprint_recordings(chosen, id_col, source_col, excerpt)), table))
+    known = table.filter("class is not null and id is not null")
+    same = known.join(known.groupBy("class").agg(F.min("id").alias("match_id")), "class").select("id", "match_id").distinct()
+    others = found.join(same, ["id", "match_id"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("match_id", "match_offset", "bit_error"))).alias("partners"))
+    out = table.withColumn("is_query", asked).join(best_of(found), "id", "left").join(others, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.size("codes").alias("n_codes"), F.col("class").alias("fingerprint"), "is_query", "match_id", "match_offset", "bit_error", "partners")

@@ -394,3 +394,35 @@ def test_chroma_probes_with_every_integer(spark):
     of = lambda rows: spark.createDataFrame([(i, c.view(np.int32).tolist(), str(i)) for i, c in rows.items()], "id long, codes array<int>, class string")
     assert [x[:3] for x in chroma.align(of({7: asked}), of(index)).collect()] == [(7, 0, 0)]
     assert {x["match_id"] for x in chroma.align_all(of({7: asked}), of(index), spread=3).collect()} == set(range(21))
+
+
+def test_chroma_recall_with_near_copies(spark):
+    r = np.random.default_rng(11)
+    vectors = r.normal(0, 0.125, (1500, 64)).round(4)
+    for start in range(0, 600, 60):  # ten groups of near copies, each of a query and twenty others
+        for k in range(1, 21):
+            vectors[start + k] = vectors[start]
+            vectors[start + k, r.integers(0, 64, 4)] = r.normal(0, 0.125, 4).round(4)
+    media = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>")
+    got = {x["vec_id"]: x for x in chroma.search_recordings(media).collect()}
+    prints = np.stack([chroma.codes(chroma.chroma(chroma.tones(np.float32(v).tolist()))) for v in vectors])
+    near_pairs, near_found, own = 0, 0, 0
+    for i in range(0, 1500, 20):
+        probe = chroma.codes(chroma.chroma(chroma.excerpt(np.float32(vectors[i]).tolist())))
+        across = np.stack([prints[:, o : o + len(probe)] ^ probe for o in range(prints.shape[1] - len(probe) + 1)])
+        errors, equal = np.bitwise_count(across).mean(axis=2) / 32, (across == 0).sum(axis=2)
+        partners = {x["match_id"]: x for x in got[i]["partners"] or []}
+        assert i not in partners
+        # Every recording that any two integers of the excerpt point to is found, at its best such offset or a longer overlap.
+        for j in np.flatnonzero(((equal >= 2) & (errors <= 0.35)).any(axis=0)):
+            least = np.where(equal[:, j] >= 2, errors[:, j], 1).min()
+            if j != i:
+                assert partners[j]["bit_error"] <= least + 1e-9
+        if i < 600 and i % 60 == 0:
+            near = [j for j in range(i + 1, i + 21) if errors[:, j].min() <= 0.35]
+            near_pairs += len(near)
+            near_found += sum(j in partners for j in near)
+        mine = got[i]["match_id"]  # queries without a match count against recall, too
+        own += mine is not None and errors[:, mine].min() <= errors.min() + 1e-9
+    print("recall", own / 75, near_found, near_pairs)
+    assert own >= 0.98 * 75 and near_found >= 0.8 * near_pairs > 0
