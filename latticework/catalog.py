@@ -18,6 +18,8 @@ from latticework.operators import cleaning, containment, embeddings, graphs, seg
 from latticework.plans import mining
 
 MINSUP = 300
+#: Share of the graphs that mine_full's patterns occur in; patterns of more than three edges do.
+FULL_SHARE = 0.05
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -256,10 +258,10 @@ def mine_le3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mine_full")
 def mine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All patterns, whatever their size, in a fifth of the graphs."""
+    """All patterns, whatever their size, in ``FULL_SHARE`` of the graphs."""
     adj = adjacency(spark, sf_dir)
     n = adj.select("gid").distinct().count()
-    return mining.mine(adj, max(1, n // 5))
+    return mining.mine(adj, max(1, int(n * FULL_SHARE)))
 
 
 @query(

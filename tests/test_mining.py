@@ -1,8 +1,10 @@
+import os
 import random
 from itertools import combinations
 
 import pytest
 
+from latticework import catalog
 from latticework.functions import dfscode as D
 from latticework.operators import containment, graphs
 from latticework.plans import mining
@@ -119,3 +121,27 @@ def test_containing(spark):
         if D.contains(dict(enumerate(labels)), adjacent, code):
             expected.add(gid)
     assert {r["gid"] for r in containment.containing(adj, code).collect()} == expected
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_mine_full_equals_brute_force_beyond_three_edges(spark, tmp_path):
+    for name in os.listdir(SF):
+        if name != "lineitem.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    small = lines.groupBy("l_orderkey").count().filter("count <= 3").orderBy("l_orderkey").limit(60)
+    lines.join(small.drop("count"), "l_orderkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    of = {}
+    for r in catalog.adjacency(spark, str(tmp_path)).collect():
+        labels, edges = of.setdefault(r["gid"], ({}, []))
+        labels[r["src"]] = r["slabel"]
+        if r["src"] < r["dst"]:
+            edges.append((r["src"], r["dst"], r["elabel"]))
+    collection = [([labels[v] for v in sorted(labels)], edges) for labels, edges in of.values()]
+    want = brute_force(collection, max(1, int(len(collection) * catalog.FULL_SHARE)))
+    got = catalog.mine_full(spark, str(tmp_path)).collect()
+    assert {r[0]: r["support"] for r in got} == {D.format_code(c): n for c, n in want.items()}
+    assert max(r["n_edges"] for r in got) > 3
