@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.components import kept
+from latticework.llm.scratch import kept
 
 RATE = 4096
 FRAME, HOP = 1024, 256

@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes reliable checkpoints possible: the cluster's folder, or one of our own if none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder; lineage ends there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from latticework.llm.scratch import Scratch
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """node, comp for every node of ``links`` (a, b): comp is the component's smallest node.
 
     Each round a node takes the least label around it, hands it to the label it had before, and
     labels then follow one pointer; so the rounds grow with the logarithm of a chain. Neighbours'
     labels are pre-added by min, a hub's many links included. Rows with a null, and links of a
-    node to itself, don't count beyond naming the node.
+    node to itself, don't count beyond naming the node. Each round's labels are written to
+    ``scratch``, the caller's or one of its own, and those of the round before dropped.
     """
+    scratch = scratch or Scratch(links.sparkSession, "components")
     known = links.filter("a is not null and b is not null")
-    ways = kept(known.select("a", "b").union(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")))
+    ways = scratch.keep(known.select("a", "b").union(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.keep(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp"), F.lit(True).alias("moved")))
     for _ in range(most_rounds):
         around = ways.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
         least = around.groupBy("node").agg(F.min("comp").alias("seen"))
@@ -40,9 +29,10 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         merged = seen.select("node", "next").union(handed).groupBy("node").agg(F.min("next").alias("next"))
         jump = merged.select(F.col("node").alias("next"), F.col("next").alias("far"))
         after = merged.join(jump, "next").select("node", F.least("next", "far").alias("comp"))
-        after = kept(after.join(labels.withColumnRenamed("comp", "was"), "node").select("node", "comp", "was"))
-        changed = after.filter("comp != was").limit(1).count()
-        labels = after.select("node", "comp")
-        if not changed:
-            return labels
+        after = scratch.keep(after.join(labels.select("node", F.col("comp").alias("was")), "node").select("node", "comp", (F.col("comp") != F.col("was")).alias("moved")))
+        scratch.drop(labels)
+        labels = after
+        if labels.filter("moved").isEmpty():
+            scratch.drop(ways)
+            return labels.select("node", "comp")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.llm.components import kept
+from latticework.llm.scratch import kept
 
 PLACE_BITS = 20
 WIDTH = 6  # hexadecimal digits of one value

@@ -23,7 +23,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.components import kept
+from latticework.llm.scratch import kept
 
 #: Template statements by licence identifier.
 TEMPLATES = [

@@ -212,6 +212,78 @@ def test_linked_sets_share_a_key(size):
             assert set(np.concatenate(own.keys(a)).tolist()) & set(np.concatenate(own.keys(b)).tolist())
 
 
+def test_copies_send_the_keys_of_one(spark):
+    """200 copies of a text of 5,000 words."""
+    text = " ".join(f"v{i}" for i in range(5000))
+    texts = [text] * 200 + ["another text of a few words"]
+    plain = table(spark, texts).filter("doc_id is not null").select("doc_id", "text")
+    reps = plain.groupBy("text").agg(F.min("doc_id").alias("class"))
+    one = jaccard_join.keyed(reps.filter("length(text) > 100"), 5, 80).count()
+    seen = []
+    real = jaccard_join.shared_keys
+    jaccard_join.shared_keys = lambda rows: (seen.append(rows.count()), real(rows))[1]
+    try:
+        found = jaccard_join.linked_texts(plain, 5, 80, "doc_id", "text").collect()
+    finally:
+        jaccard_join.shared_keys = real
+    assert one < 5000 and seen[0] <= one + 20 and len(found) == 2
+
+
+def test_half_alike_texts_are_not_verified(spark):
+    """Texts of 5,000 words with 70 % in common share keys and are no links: the sketches say so."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(3500)]
+    texts = [" ".join(base + [f"t{k}x{r.randrange(10**9)}" for _ in range(1500)]) for k in range(60)]
+    seen = []
+    real = jaccard_join.verified
+    jaccard_join.verified = lambda pairs, *more: (seen.append(pairs.count()), real(pairs, *more))[1]
+    try:
+        rows = by_id(jaccard_join.link_components(table(spark, texts), 4, 85))
+    finally:
+        jaccard_join.verified = real
+    assert sum(seen) == 0 and [rows[i]["component_id"] for i in range(60)] == list(range(60))
+
+
+def test_rows_of_one_id(spark):
+    """An id's rows go by their own texts; of repeated rows one stays."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, None), (None, a), (None, a), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("row", F.lit(1))
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.link_components(docs).filter("doc_id is not null").collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 0, 3), (4, 0, 4)]
+    stays = jaccard_join.one_per_component(docs)
+    assert stays.columns == docs.columns
+    assert sorted(((x["doc_id"] or 0, x["text"] or "") for x in stays.collect())) == sorted([(1, a), (1, b), (3, ""), (0, a), (0, a), (4, " ")])
+
+
+def test_shared_keys_of_long_and_hot_groups(spark):
+    rows = [(5, c, -1) for c in range(25_000)] + [(6, c, -1) for c in range(3)] + [(7, c, -1) for c in range(3)] + [(8, 4, -1), (9, 1, -1), (9, 2, -1)]
+    rows += [(10, 1, -2), (10, 3, -1), (10, 1, 1), (10, 2, 1), (10, 7, 1), (11, 4, -2), (11, 4, 4), (11, 5, 4)]
+    got = jaccard_join.shared_keys(spark.createDataFrame(rows, "key long, class long, lead long")).collect()
+    assert len(got) == len({tuple(x) for x in got})
+    groups = {}
+    for x in got:
+        groups.setdefault(x["group"], set()).add((x["class"], x["first"]))
+    assert groups.pop(None) == {(2, 1)}
+    assert {c for c, _ in groups.pop(5)} == set(range(25_000))
+    assert groups.pop(10) == {(1, 1), (3, 1), (2, 1), (7, 1)} and groups.pop(11) == {(4, 4), (5, 4)}
+    assert list(groups.values()) == [{(0, 0), (1, 0), (2, 0)}]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_bound_the_difference(percent):
+    r = np.random.default_rng(percent)
+    for size in (1, 30, 500, 4000, 20_000):
+        a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        for share in (0.02, 0.1, 0.5):
+            b = np.unique(np.concatenate([a[int(share * len(a)) :], r.integers(0, 2**63, int(share * size) + 1, dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            seen = jaccard_join.distances([jaccard_join.parity(a, percent).tobytes()], [jaccard_join.parity(b, percent).tobytes()])[0]
+            assert seen <= apart
+            if share == 0.5 and size > 100:
+                assert seen * (100 + percent) > (len(a) + len(b)) * (100 - percent)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(50)] + [(7, 7), (None, 3), (5000, 4999)]
     got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
