@@ -7,13 +7,11 @@ lets it go; an empty table stays empty; further columns, whatever their names, p
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import jaccard_join, language_id, packing, toxicity
 from latticework.llm.queries import vocabulary
+from latticework.llm.scratch import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's result is written as Parquet and read again."""
+    """Applies STAGES to documents; each stage's result is written as Parquet, read again, and dropped once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    scratch, before = Scratch(spark, "pipeline"), ()
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
