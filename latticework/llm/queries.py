@@ -27,7 +27,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.lm_scoring import score_corpus
 
-    return score_corpus(documents(spark, sf_dir))
+    return score_corpus(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

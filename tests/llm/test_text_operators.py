@@ -1,10 +1,14 @@
 import hashlib
+import io
 import random
+import wave
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from latticework.llm import chroma, imatch, jaccard_join, language_id, license_scan, lm_scoring, packing, piece_codec, token_counts, toxicity
 from latticework.llm.components import connected
@@ -28,13 +32,15 @@ def table(spark, texts, more="extra"):
     return df
 
 
+def by_key(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
 def test_token_counts_equal_the_library(spark):
-    from tokenizers import Tokenizer
-
     library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     got = token_counts.count_tokens(table(spark, ODD), vocabulary("byte_bpe_50k.json"), 512)
     assert got.count() == len(ODD) + 2
@@ -113,8 +119,6 @@ def test_differencing_is_near_equal():
 
 
 def test_packing_documents(spark):
-    from tokenizers import Tokenizer
-
     library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     got = packing.pack_documents(table(spark, ODD), vocabulary("word_bpe_49k.json"), capacity=256, with_ids=True).toPandas()
     assert packing.pack_documents(table(spark, ODD).limit(0), vocabulary("word_bpe_49k.json")).count() == 0
@@ -378,30 +382,93 @@ def test_non_negative_risk_does_not_run_away():
 
 
 def test_lm_scoring(spark):
-    texts = ODD + [t for _, t in language_texts()]
+    """Against the network and the counts, one token at a time."""
+    r = random.Random(5)
+    passage = " ".join(f"{r.choice(['red', 'blue', 'green'])} {r.choice(['fox', 'dog', 'house'])} number {i}" for i in range(60))
+    texts = ODD + [t for _, t in language_texts()][:60] + [passage, "x " + passage, passage.upper(), "a " * 4000]
+    vocab = vocabulary("word_bpe_49k.json")
     docs = table(spark, texts)
-    alphabet = lm_scoring.learn_alphabet(docs)
-    network = lm_scoring.train_network(lm_scoring.count_windows(docs, alphabet), shards=2)
-    got = lm_scoring.score(docs, alphabet, network)
-    rows = by_id(got)
-    assert got.count() == len(texts) + 2
-    # Brute force: each token's probability from the network, one window at a time.
-    classes = lm_scoring.class_table(alphabet)
-    for i in (3, 6, 8, 9, 20):
-        own = classes[lm_scoring.points([texts[i]])]
-        total = 0.0
-        for k in range(2, len(own) - 2):
-            context = 0
-            for c in (own[k - 2], own[k - 1], own[k + 1], own[k + 2]):
-                context = context << lm_scoring.BITS | int(c)
-            total += float(network.forward(np.array([context]))[2][0, own[k]])
-        assert rows[i]["n_tokens"] == len(texts[i]) and rows[i]["log_prob"] == pytest.approx(total, rel=1e-4, abs=1e-3)
-    assert rows[0]["n_tokens"] == 0 and rows[0]["log_prob"] == 0 and rows[0]["mean_log_prob"] is None
-    counted = {r["window"]: r["n"] for r in lm_scoring.count_windows(docs, alphabet).collect()}
-    assert sum(counted.values()) == sum(len(t or "") for t in [*texts, texts[0], "no id here"])
-    known = np.mean([rows[i]["mean_log_prob"] for i in range(len(ODD), len(texts))])
-    assert known > np.log(1 / 32) + 0.8
-    assert lm_scoring.score_corpus(docs.limit(0)).collect() == []
+    rows = lm_scoring.tokenize(docs, vocab, "doc_id", "text").cache()
+    classes = lm_scoring.Classes(dict(lm_scoring.count_tokens(rows).collect()), 49_000)
+    network = lm_scoring.train(rows, classes, batch=256)
+    scored = lm_scoring.score_windows(rows, classes, network).cache()
+    found = {x["row"]: x["gain"] for x in lm_scoring.remembered(scored).collect()}
+
+    library = Tokenizer.from_file(vocab)
+    ids = {x["row"]: np.frombuffer(x["ids"], np.uint32) for x in rows.collect()}
+    of_row = {x["row"]: x["doc_id"] for x in scored.collect()}
+    assert sorted(map(str, of_row.values())) == sorted(map(str, [*range(len(texts)), 0, None]))
+    counts = Counter(int(t) for x in ids.values() for t in x)
+    n = {t: max(counts[t], 0.5) for t in range(len(classes.of))}
+    in_class = Counter()
+    for t, k in n.items():
+        in_class[int(classes.of[t])] += k
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    around = Counter()
+    for x in ids.values():
+        around.update((tuple(x[k - 2 : k].tolist() + x[k + 1 : k + 3].tolist()), int(x[k])) for k in range(2, len(x) - 2))
+    at_context = {}
+    for (c, t), k in around.items():
+        at_context.setdefault(c, {})[t] = k
+    for row in scored.collect():
+        x = ids[row["row"]]
+        doc = of_row[row["row"]]
+        if doc is not None:
+            assert x.tolist() == library.encode(texts[doc] or "", add_special_tokens=False).ids
+        assert row["n_tokens"] == len(x)
+        if len(x) > 1500:
+            continue
+        total, gain, asked = 0.0, 0.0, 0
+        for k, t in enumerate(x):
+            hidden = network.bias.copy()
+            for place, d in enumerate((-3, -2, -1, 1, 2, 3)):
+                c = int(classes.of[x[k + d]]) if 0 <= k + d < len(x) else lm_scoring.BEYOND
+                hidden += network.embed[c] * network.place[place]
+            hidden, own = np.tanh(hidden), int(classes.of[t])
+            p = softmax(hidden @ network.coarse + network.coarse_bias)[own // 64] * softmax(hidden @ network.fine[own // 64] + network.fine_bias[own // 64])[own % 64]
+            log = np.log(p) + np.log(n[int(t)] / in_class[own])
+            total += log
+            if 2 <= k < len(x) - 2:
+                key = lm_scoring.context_keys(x[k - 2 : k + 3])[0]
+                if key % np.uint64(8) == 0:
+                    asked += 1
+                    here = at_context[tuple(x[k - 2 : k].tolist() + x[k + 1 : k + 3].tolist())]
+                    if sum(here.values()) > 1:
+                        gain += np.log((here[int(t)] - 1 + len(here) * np.exp(log)) / (sum(here.values()) - 1 + len(here))) - log
+        assert row["network"] == pytest.approx(total, rel=1e-3, abs=1e-2)
+        assert len(row["keys"]) == asked
+        assert found.get(row["row"], 0.0) == pytest.approx(gain, rel=1e-2, abs=1e-2)
+    out = by_id(lm_scoring.score_corpus(docs, vocab))
+    assert out[0]["n_tokens"] == 0 and out[0]["log_prob"] == 0 and out[0]["mean_log_prob"] is None
+    copies, alone = [out[len(texts) - k]["mean_gain"] for k in (2, 3, 4)], [out[i]["mean_gain"] for i in range(len(ODD), len(ODD) + 60)]
+    assert min(copies) > 0.2 and min(copies) > max(alone) + 0.1
+    assert lm_scoring.score_corpus(docs.limit(0), vocab).collect() == []
+
+
+def test_lm_gradient_and_training(spark):
+    r = np.random.default_rng(3)
+    network = lm_scoring.Network(hidden=8)
+    contexts, targets = r.integers(0, lm_scoring.CLASSES + 1, (50, 6)).astype(np.int32), r.integers(0, lm_scoring.CLASSES, 50)
+    slope = network.gradient(contexts, targets)
+    loss = lambda flat: -float(lm_scoring.Network(flat, 8).log_prob(contexts, targets).mean(dtype=np.float64))
+    for _ in range(10):
+        way = r.normal(size=len(slope)).astype(np.float32)
+        step = 1e-2 / np.linalg.norm(way)
+        assert (loss(network.flat + step * way) - loss(network.flat - step * way)) / (2 * step) == pytest.approx(float(slope @ way), rel=0.05, abs=2e-2)
+    # The softmaxes sum to one over all classes.
+    every = np.arange(lm_scoring.CLASSES)
+    assert np.exp(network.log_prob(np.repeat(contexts[:1], len(every), axis=0), every)).sum() == pytest.approx(1, abs=1e-3)
+    # Training covers every token once, and lowers the loss.
+    docs = table(spark, [t for _, t in language_texts()] * 3)
+    rows = lm_scoring.tokenize(docs, vocabulary("word_bpe_49k.json"), "doc_id", "text").cache()
+    classes = lm_scoring.Classes(dict(lm_scoring.count_tokens(rows).collect()), 49_000)
+    real = lm_scoring.ROUNDS
+    low = [rows.filter((F.col("slice") >= a) & (F.col("slice") < b)).count() for a, b in zip(real, [*real[1:], 16])]
+    assert sum(low) == rows.count()
+    trained = lm_scoring.train(rows, classes, batch=128)
+    lists = [np.frombuffer(x["ids"], np.uint32) for x in rows.collect()]
+    seen, target, _ = lm_scoring.windows(lists, classes)
+    assert trained.log_prob(seen, target).mean() > lm_scoring.Network().log_prob(seen, target).mean() + 1
 
 
 def test_license_scan(spark):
@@ -451,6 +518,48 @@ def test_chroma(spark):
     assert by[7]["fingerprint"] == by[50]["fingerprint"] and by[500]["match_id"] is None and by[540]["n_codes"] == 0
     assert chroma.search_recordings(media.limit(0)).collect() == []
 
+
+def test_recordings_from_files_and_long_ones(spark):
+    r = np.random.default_rng(2)
+    made = {i: chroma.tones(r.normal(0, 0.125, 64)) for i in range(6)}
+    made[6] = np.tile(made[0], 40)  # some five minutes
+
+    def wav(samples, rate, channels=1):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(2)
+            f.setframerate(rate)
+            at = np.arange(int(len(samples) * rate / chroma.RATE)) * (chroma.RATE / rate)
+            again = (np.interp(at, np.arange(len(samples)), samples) * 30000).astype("<i2")
+            f.writeframes(np.repeat(again, channels).tobytes())
+        return out.getvalue()
+
+    files = [(i, wav(x, 4096)) for i, x in made.items()] + [(10, wav(made[1], 8192, 2)), (11, None), (12, b""), (13, wav(made[2][:100], 4096))]
+    index = chroma.fingerprint_recordings(spark.createDataFrame(files, "id long, file binary"), "id", "file", chroma.wav_samples, "binary").cache()
+    by = by_key(index, "id")
+    for i, x in made.items():
+        frames = chroma.chroma(np.round(x * 30000).astype(np.float32) / 32768)
+        assert len(by[i]["codes"]) == len(frames) - 15
+    assert np.allclose(chroma.chroma(made[6], 100), chroma.chroma(made[6], 10**6)) and [by[i]["class"] for i in (11, 12, 13)] == [None] * 3
+    found = {(x["id"], x["match_id"]): x["bit_error"] for x in chroma.align_all(index.filter("id = 10"), index).collect()}
+    assert found[(10, 1)] < 0.1
+    assert {(x["id"], x["match_id"]) for x in chroma.align_all(index.filter("id = 0"), index).collect()} >= {(0, 0), (0, 6)}
+
+
+def test_a_frequent_integer_is_spread(spark):
+    """A steady tone in every recording: one integer everywhere, whose places travel in parts."""
+    steady = chroma.codes(chroma.chroma(chroma.tones([0.1] * 40)))
+    rows = [(i, steady.view(np.int32).tolist() + [i], str(i)) for i in range(300)]
+    index = spark.createDataFrame(rows, "id long, codes array<int>, class string")
+    reps = chroma.representatives(index)
+    merged = chroma.merged(chroma.postings(reps, hot=10), 500)
+    assert merged.agg(F.max(F.length("places"))).first()[0] <= 4 * 500 + 4 * 300 * len(steady)
+    assert merged.agg(F.sum(F.length("places"))).first()[0] == 4 * 300 * (len(steady) + 1)
+    got = chroma.align_all(index.filter("id < 3"), index, spread=20)
+    assert {(x["id"], x["match_id"]) for x in got.collect()} == {(i, j) for i in range(3) for j in range(300)}
+
+
 def test_chroma_probes_with_every_integer(spark):
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 32, 40, dtype=np.uint32)
