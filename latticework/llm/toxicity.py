@@ -8,13 +8,18 @@ With the class prior p the risk of a scorer g is
 whose second part estimates the negatives' risk. When that estimate falls below zero, the step
 descends on its negation instead, so that the fit doesn't run after the positives it has seen.
 The scorer is linear over the presence of words and of word beginnings; those most
-over-represented among positives against the estimated negatives are the inputs. It is trained in
-numpy on a bounded sample, chosen by a hash of the id; every whole text of the table is scored.
+over-represented among positives against the estimated negatives are the inputs, counted over
+every document. It is trained in numpy: first on a bounded sample, chosen by a hash of the id, to
+start from; then on all unlabelled documents against the confirmed examples, whose number is
+bounded: each step's gradient is summed where the documents lie, over counts of equal inputs.
+Every whole text of the table is scored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.arrow import Memo, map_rows
+from latticework.llm.arrow import Memo, chunks, map_rows
+from latticework.llm.scratch import Scratch
 
 SCORED = "doc_id long, score double, predicted int"
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -37,8 +43,8 @@ def units(word: str) -> list[str]:
     return [word + "$", *[word[:n] for n in STEMS if n < len(word)]]
 
 
-def count_units(sample: DataFrame) -> DataFrame:
-    """unit, pos, unl: documents of either part of the sample that have the unit; pre-added in each task."""
+def count_units(rows: DataFrame) -> DataFrame:
+    """unit, pos, unl: confirmed examples (positive 1), and all documents, that have the unit; pre-added in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -51,13 +57,17 @@ def count_units(sample: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[positive].update({u for w in set(WORDS((text or "").lower())) for u in units(w)})
-                if len(seen[0]) + len(seen[1]) > 1_000_000:
+            for part in chunks(batch):
+                for positive, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = {u for w in set(WORDS((text or "").lower())) for u in units(w)}
+                    seen[0].update(found)
+                    if positive:
+                        seen[1].update(found)
+                if len(seen[0]) > 500_000:
                     yield drain()
         yield drain()
 
-    counted = map_rows(sample, [("positive", "positive", "int"), ("text", "text", "string")], run, "unit string, pos long, unl long")
+    counted = map_rows(rows, [("positive", "positive", "int"), ("text", "text", "string")], run, "unit string, pos long, unl long")
     return counted.groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
 
 
@@ -74,22 +84,35 @@ class Presence:
         return sorted(set().union(*map(known.__getitem__, words))) if words else []
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def share_of(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def grown(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.append(g.astype(x.dtype) @ x, g.sum()) / len(x)
+
+
+def combined(w: np.ndarray, positive: np.ndarray, loss: float, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """The direction to go against, from the unlabelled documents' mean loss and its gradient.
+
+    It is the risk's gradient, or, where the negatives' estimate is below zero, that of its negation.
+    """
+    p = positive @ w[:-1].astype(positive.dtype) + w[-1]
+    step = unlabelled - prior * grown(positive, share_of(p))
+    return step + prior * grown(positive, share_of(p) - 1) if loss - prior * np.logaddexp(0, p).mean() >= 0 else -step
+
+
+def slope(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    u = unlabelled @ w[:-1].astype(unlabelled.dtype) + w[-1]
+    return combined(w, positive, np.logaddexp(0, u).mean(), grown(unlabelled, share_of(u)), prior)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-4, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
-    w = np.zeros(positive.shape[1] + 1)
-    w[-1] = math.log(prior / (1 - prior))
+    w = np.append(np.zeros(positive.shape[1]), math.log(prior / (1 - prior))) if start is None else start.copy()
     first, second = np.zeros_like(w), np.zeros_like(w)
-    soft = lambda z: np.logaddexp(0, z)
-    share = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    grow = lambda x, g: np.append(g @ x, g.sum()) / len(x)
     for t in range(1, steps + 1):
-        p, u = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
-        negatives = soft(u).mean() - prior * soft(p).mean()
-        step = grow(unlabelled, share(u)) - prior * grow(positive, share(p))
-        if negatives >= 0:
-            step = step + prior * grow(positive, share(p) - 1)
-        else:
-            step = -step
+        step = slope(w, positive, unlabelled, prior)
         step[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -97,16 +120,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, fold_filter: Column, n_positive: int = 2500, n_unlabelled: int = 5000, n_units: int = 600, least_z: float = 4.0, prior: float | None = None
+    docs: DataFrame, labels: DataFrame, fold_filter: Column, n_positive: int = 2500, n_start: int = 5000, n_units: int = 600, least_z: float = 4.0, prior: float | None = None
 ) -> dict:
     """A model {units, weights, bias} from documents and labels (doc_id, toxic).
 
-    Only rows for which ``fold_filter`` (over doc_id) holds take part. The sample is bounded:
-    ``n_positive`` confirmed toxic documents and ``n_unlabelled`` documents whatever their label,
-    those with the smallest hash of their id. ``prior`` is the share of toxic documents; if not
-    given, the share among the labelled rows that take part. Without positives, or without
-    unlabelled documents, the model scores everything near 0. A unit must be over-represented
-    by ``least_z`` standard errors to be an input.
+    Only rows for which ``fold_filter`` (over doc_id) holds take part. Confirmed toxic documents
+    are bounded: ``n_positive``, those with the smallest hash of their id. All documents, whatever
+    their label, are the unlabelled ones; ``n_start`` of them give the start of the training.
+    ``prior`` is the share of toxic documents; if not given, the share among the labelled rows
+    that take part. Without positives, or without unlabelled documents, the model scores
+    everything near 0. A unit must be over-represented by ``least_z`` standard errors to be one of
+    at most ``n_units`` inputs.
     """
     seen = labels.filter(fold_filter & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     n, toxic = seen.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -114,18 +138,18 @@ def learn(
         return {"units": [], "weights": [], "bias": -40.0}
     share = min(max(prior if prior is not None else toxic / n, 1e-4), 0.5)
     near = lambda ids, k, mark: ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(k).withColumn("positive", F.lit(mark))
-    sampled = near(seen.filter("toxic = 1"), n_positive, 1).unionByName(near(docs.filter(fold_filter & F.col("doc_id").isNotNull()), n_unlabelled, 0))
-    # Bounded: at most n_positive + n_unlabelled rows of two small columns.
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in sampled.collect()], "doc_id long, positive int")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    sizes = dict(sample.groupBy("positive").count().collect())
-    n_pos, n_unl = sizes.get(1, 0), sizes.get(0, 0)
+    open_docs = docs.filter(fold_filter & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = lambda rows: F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rows.collect()], "doc_id long, positive int"))
+    # Bounded: at most n_positive and n_start rows of two small columns.
+    confirmed, starting = table(near(seen.filter("toxic = 1"), n_positive, 1)), table(near(open_docs, n_start, 0))
+    marked = open_docs.join(confirmed, "doc_id", "left").select(F.coalesce("positive", F.lit(0)).alias("positive"), "text")
+    n_unl, n_pos = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("positive"), F.lit(0))).first()
     if not n_pos or not n_unl:
         return {"units": [], "weights": [], "bias": -40.0}
     p, u = F.col("pos") / n_pos, F.col("unl") / n_unl
     neg = F.greatest((u - share * p) / (1 - share), F.lit(0.5 / n_unl))
     z = (p - neg) / F.sqrt(neg / n_unl + p * (1 - p) / n_pos + F.lit(1.0) / n_pos**2)
-    best = count_units(sample).filter((F.col("pos") >= max(3, n_pos // 200)) & (p > 3 * neg)).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "unit").limit(n_units)
+    best = count_units(marked).filter((F.col("pos") >= max(3, n_pos // 200)) & (p > 3 * neg)).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "unit").limit(n_units)
     chosen = [r["unit"] for r in best.select("unit", "z").collect()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,30 +157,92 @@ def learn(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["positive", "has"])
 
+    sample = open_docs.join(confirmed, "doc_id").unionByName(open_docs.join(starting, "doc_id"))
     rows = map_rows(sample, [("positive", "positive", "int"), ("text", "text", "string")], vectors, "positive int, has array<int>").collect()
     rows.sort(key=lambda r: (r[0], r[1]))  # one order whatever the partitions
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (_, has) in enumerate(rows):
+    positive, started = ([r[1] for r in rows if r[0] == k] for k in (1, 0))
+    x = dense(positive, len(chosen))
+    weights, bias = fit(x, dense(started, len(chosen)), share)
+    if n_unl > len(started) and chosen:
+        weights, bias = refine(open_docs, chosen, x, share, weights, bias)
+    return {"units": chosen, "weights": list(map(float, weights)), "bias": float(bias)}
+
+
+def dense(rows: list[list[int]], width: int) -> np.ndarray:
+    x = np.zeros((len(rows), width), np.float32)
+    for i, has in enumerate(rows):
         x[i, has] = 1
-    positive = np.array([r[0] for r in rows], bool)
-    weights, bias = fit(x[positive], x[~positive], share)
-    return {"units": chosen, "weights": weights.tolist(), "bias": bias}
+    return x
+
+
+def refine(docs: DataFrame, chosen: list[str], positive: np.ndarray, prior: float, weights: np.ndarray, bias: float, steps: int = 25, rate: float = 0.02, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias after Adam steps on the risk over every document as an unlabelled one.
+
+    Documents are counted by the units they have, pre-added in each task, and written once. Each
+    step sums losses and gradients over those rows where they lie; a row a task comes to the driver.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Presence(chosen)
+        for batch in batches:
+            for part in chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([own.of(t) for t in part.column(0).to_pylist()], pa.list_(pa.int32()))], names=["has"])
+
+    rows = scratch.keep(map_rows(docs, [("text", "text", "string")], vectors, "has array<int>").groupBy("has").agg(F.count(F.lit(1)).alias("n")))
+    w, x = np.append(weights, bias), positive.astype(np.float64)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w.copy()) -> Iterator[pa.RecordBatch]:
+            total, grown, n_docs = 0.0, np.zeros(len(w)), 0
+            for batch in batches:
+                flat, n = batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+                lengths = np.array(batch.column(0).value_lengths().to_pylist(), np.int64)
+                at = np.repeat(np.arange(len(n)), lengths)
+                g = np.bincount(at, w[flat], len(n)) + w[-1] if len(flat) else np.full(len(n), w[-1])
+                share = n / (1 + np.exp(-np.clip(g, -40, 40)))
+                total += float((n * np.logaddexp(0, g)).sum())
+                grown[:-1] += np.bincount(flat, share[at], len(w) - 1) if len(flat) else 0
+                grown[-1] += share.sum()
+                n_docs += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([grown.tobytes()], pa.binary()), pa.array([n_docs], pa.int64())], names=["loss", "slope", "n"])
+
+        parts = rows.mapInArrow(run, "loss double, slope binary, n long").collect()
+        parts.sort(key=lambda r: (r["n"], r["loss"], bytes(r["slope"])))  # one order of adding
+        n_docs = sum(r["n"] for r in parts)
+        mean_loss, mean_slope = sum(r["loss"] for r in parts) / n_docs, sum(np.frombuffer(r["slope"]) for r in parts) / n_docs
+        step = combined(w, x, mean_loss, mean_slope, prior)
+        step[:-1] += decay * w[:-1]
+        first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
+        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    scratch.drop(rows)
+    return w[:-1], float(w[-1])
+
+
+@functools.lru_cache(maxsize=2)
+def scorer(model: bytes) -> tuple[Presence, np.ndarray, float]:
+    own = pickle.loads(model)
+    return Presence(own["units"]), np.array(own["weights"]), own["bias"]
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5) of every whole text.
 
-    A null or empty text has the score of a text without any chosen unit. Repeated rows are
-    scored one by one, null ids stay null, an empty table gives an empty one, and no other
-    column is read. Map-only.
+    A null or empty text has the score of a text without any chosen unit; a text of any length is
+    read whole. Repeated rows are scored one by one, null ids stay null, an empty table gives an
+    empty one, and no other column is read. Map-only.
     """
 
+    raw = pickle.dumps(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = Presence(model["units"]), np.array(model["weights"])
+        own, w, bias = scorer(raw)
         for batch in batches:
-            g = np.array([w[own.of(t)].sum() for t in batch.column(1).to_pylist()]) + model["bias"]
-            s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for part in chunks(batch):
+                g = np.array([w[own.of(t)].sum() for t in part.column(1).to_pylist()]) + bias
+                s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return map_rows(docs, [(id_col, "doc_id", "long"), (text_col, "text", "string")], run, SCORED)
 
@@ -177,10 +263,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0
     """The rows of docs, all columns, with a score below ``least_toxic``. Map-only after learning."""
     model = learn(docs, labels, outside_fold(folds, fold))
 
+    raw = pickle.dumps(model)
+
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        own, w = Presence(model["units"]), np.array(model["weights"])
+        own, w, bias = scorer(raw)
         least = math.log(least_toxic / (1 - least_toxic))
-        return pd.Series([w[own.of(t)].sum() + model["bias"] < least for t in texts], dtype=bool)
+        return pd.Series([w[own.of(t)].sum() + bias < least for t in texts], dtype=bool)
 
     return docs.filter(clean(F.col("text").cast("string")))
