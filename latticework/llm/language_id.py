@@ -10,6 +10,7 @@ a share of the greatest possible one.
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.llm.arrow import map_rows
+from latticework.llm.arrow import chunks, map_rows
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -76,13 +77,14 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             waiting.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = grams(text)
-                waiting.setdefault(lang, []).append(codes)
-                size += len(codes)
-                if size > 4_000_000:
-                    add()
-                    size = 0
+            for part in chunks(batch):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    codes = grams(text)
+                    waiting.setdefault(lang, []).append(codes)
+                    size += len(codes)
+                    if size > 4_000_000:
+                        add()
+                        size = 0
         add()
         for lang, (codes, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
@@ -120,16 +122,20 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """Language and score; ``und`` and 0 for a text that is null or has no letter."""
+        return self.compared(text)[:2]
+
+    def compared(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score, and the magnitude of the number of n-grams compared, in halves of its binary logarithm."""
         codes = grams(text) if text else np.zeros(0, np.int64)
         if not len(codes) or not self.langs:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         codes, n = np.unique(codes, return_counts=True)
         codes = codes[np.argsort(-n, kind="stable")[: self.top]]
         at = np.searchsorted(self.codes, codes)
         ranks = np.where((self.codes[at] == codes)[:, None], self.ranks[at], -1)
         apart = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(codes))[:, None])).sum(axis=0)
         k = int(np.argmin(apart))
-        return self.langs[k], float(1 - apart[k] / (len(codes) * self.top))
+        return self.langs[k], float(1 - apart[k] / (len(codes) * self.top)), int(2 * np.log2(len(codes)))
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,14 +144,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = 400, id
     A null text, or one without letters, gives ``und`` with score 0; so does every text if there
     are no profiles. Equal distances go to the language that sorts first. Repeated rows are
     scored one by one, null ids stay null, an empty table gives an empty one, and other columns
-    are not read. Map-only.
+    are not read. A text of any length is read whole. Map-only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(profiles, top)
-        for batch in batches:
-            got = [own.nearest(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for part in (x for batch in batches for x in chunks(batch)):
+            got = [own.nearest(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_rows(docs, [(id_col, "doc_id", "long"), (text_col, "text", "string")], run, "doc_id long, lang_pred string, score double")
 
@@ -162,21 +168,56 @@ def identify_held_out(docs: DataFrame, folds: int = 4, fold: int = 2, top: int =
     return found.select("doc_id", in_fold("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, folds: int = 4, fold: int = 2, top: int = 400, least_score: float = 0.2) -> DataFrame:
+def learn_floors(docs: DataFrame, profiles: dict[str, list[int]], top: int, deviations: float, least_score: float, lang_col: str = "lang", text_col: str = "text") -> dict[int, float]:
+    """The lowest score of a text in a learned language, by ``magnitude`` of its distinct n-grams.
+
+    Over all rows with a language whose nearest profile is theirs: the mean score less so many
+    deviations, for magnitudes with 30 such rows at least; ``least_score`` is the least for any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = Profiles(profiles, top), {}
+        for part in (x for batch in batches for x in chunks(batch)):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found, score, size = own.compared(text)
+                if found == lang:
+                    n, a, b = sums.get(size, (0, 0.0, 0.0))
+                    sums[size] = (n + 1, a + score, b + score * score)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([v[k] for v in sums.values()], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64())))], names=["size", "n", "a", "b"])
+
+    counted = map_rows(docs, [(lang_col, "lang", "string"), (text_col, "text", "string")], run, "size int, n long, a double, b double").groupBy("size").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    out = {}
+    for r in counted.filter("n >= 30").collect():  # a row a magnitude
+        mean = r["a"] / r["n"]
+        out[r["size"]] = max(least_score, mean - deviations * max(0.0, r["b"] / r["n"] - mean * mean) ** 0.5)
+    return out
+
+
+@functools.lru_cache(maxsize=2)
+def profiles_of(model: bytes) -> tuple[Profiles, dict[int, float]]:
+    profiles, top, floors = pickle.loads(model)
+    return Profiles(profiles, top), floors
+
+
+def keep_identified(docs: DataFrame, folds: int = 4, fold: int = 2, top: int = 400, least_score: float = 0.2, deviations: float = 6.0) -> DataFrame:
     """The rows of docs, all columns, whose text is in a learned language.
 
     A document is rejected if it is undetermined, or if its nearest profile is so far that the
-    score is below ``least_score``. Profiles are learned as in identify_held_out; if there is
-    none to learn, every text with a letter stays. Map-only after learning.
+    score is below the floor: that of all learned documents of its magnitude (``learn_floors``),
+    and never below ``least_score``. Profiles and floors are learned as in identify_held_out; if
+    there is none to learn, every text with a letter stays. Map-only after learning.
     """
-    profiles = learn_profiles(docs.filter(~in_fold("doc_id", folds, fold)), top)
+    known = docs.filter(~in_fold("doc_id", folds, fold))
+    profiles = learn_profiles(known, top)
+    floors = learn_floors(known.filter("lang is not null and text is not null"), profiles, top, deviations, least_score) if profiles else {}
+    model = pickle.dumps((profiles, top, floors))
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
-        own = Profiles(profiles, top)
-        if not profiles:
+        own, least = profiles_of(model)
+        if not own.langs:
             return pd.Series([bool(t) and len(grams(t)) > 0 for t in texts], dtype=bool)
-        found = [own.nearest(t) for t in texts]
-        return pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in found], dtype=bool)
+        found = [own.compared(t) for t in texts]
+        return pd.Series([lang != UNDETERMINED and score >= least.get(size, least_score) for lang, score, size in found], dtype=bool)
 
     return docs.filter(accepted(F.col("text").cast("string")))
