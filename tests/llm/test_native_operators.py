@@ -31,9 +31,9 @@ def test_fingerprints_equal_a_plain_version(spark):
     words = [f"w{i}" for i in range(400)] + ["Été", "naïve", "ünder", "42"]
     texts = [" ".join(r.choice(words[: r.choice([30, 404])]) for _ in range(r.randint(0, 120))) + r.choice(["", "!", " – x"]) for _ in range(120)] + ["", "!!!"]
     docs = spark.createDataFrame([(i * 37, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    mask = (1 << imatch.PLACE_BITS) - 1
-    counts = Counter(p for t in texts for p in {h & mask for h in term_hashes(t)})
-    inside = {p for p, n in counts.items() if max(1, 0.001 * len(texts)) <= n <= max(1, 0.2 * len(texts))}
+    mask = (1 << imatch.LEAST_BITS) - 1
+    counts = Counter(h for t in texts for h in term_hashes(t))
+    inside = {h & mask for h, n in counts.items() if max(1, 0.001 * len(texts)) <= n <= max(1, 0.2 * len(texts))}
     lexicon = imatch.learn_lexicon(docs)
     assert {64 * i + b for i, word in enumerate(lexicon) for b in range(64) if word >> b & 1} == inside
 
@@ -77,6 +77,22 @@ def test_fingerprints_equal_a_plain_version(spark):
         assert row["near_next"] == pytest.approx(alike(row["fingerprint"], rows[(i + 1) % len(rows)]["fingerprint"]))
 
 
+@pytest.mark.parametrize("spread", [1, 1000, 2**44])
+def test_successors_of_dense_and_sparse_ids(spark, spread):
+    r = random.Random(spread)
+    ids = sorted(r.sample(range(-500 * spread, 500 * spread), 300)) if spread > 1 else list(range(300))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "a"), (None, "b"), (ids[5], "again")], "doc_id long, text string")
+    starts, n = imatch.successors(docs)
+    assert n == starts.count() == len({i // 128 for i in ids})
+    got = imatch.followed(imatch.bucketed(docs), ["text"]).collect()
+    assert len(got) == 303
+    after = {x["text"]: x["next_text"] for x in got if x["text"] not in ("again", f"t{ids[5]}")}
+    assert after.pop("a") is None and after.pop("b") is None
+    for i, j in zip(ids, [*ids[1:], ids[0]]):
+        if i != ids[5]:
+            assert after[f"t{i}"] in ((f"t{j}", "again") if j == ids[5] else (f"t{j}",))
+
+
 def test_licences_equal_a_plain_version(spark):
     r = random.Random(3)
     parts = ["a", "b", "c"]
