@@ -190,6 +190,18 @@ def spdx(text: Column) -> Column:
     return F.nullif(F.regexp_replace(stated, r"(?i)^([^ ]+?)(-only|-or-later|\+)$", "$1"), F.lit(""))
 
 
+def below(upward: DataFrame, licensed: DataFrame, spread: int = 100_000) -> DataFrame:
+    """upward (directory, depth, above) with the licences of ``above``, for those that have one.
+
+    A directory that ``spread`` others or more lie below is dealt to as many parts as it needs.
+    """
+    wide = upward.groupBy("above").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = licensed.join(wide, "above", "left").select("above", "license", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = upward.join(wide, "above", "left").withColumn("part", F.pmod(F.xxhash64("directory"), parts).cast("int")).drop("parts")
+    return rows.join(dealt, ["above", "part"]).drop("part")
+
+
 def url_path(url: Column) -> Column:
     """Host and path of a URL, without scheme, query and fragment; a plain path stays."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), r"[?#].*$", "")
@@ -205,8 +217,8 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     where an inherited licence comes from. A directory is licensed by its licence files, or by a
     file that is the directory itself (a path that ends in a slash); of several the best score
     counts, then the identifier. A null path or text counts as empty; a file at the root has the
-    directory "". Null ids and repeated rows stay as they are; an empty table gives an empty one;
-    other columns are not read.
+    directory "". Texts of any length are read whole. Null ids and repeated rows stay as they are; an
+    empty table gives an empty one; other columns are not read.
     """
     path, text = url_path(F.col(f"`{path_col}`")), F.col(f"`{text_col}`")
     name = F.element_at(F.split(path, "/"), -1)
@@ -227,7 +239,7 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     later = F.col("found.license") == RESERVED
     block = F.col("block.score").isNotNull() & ((F.col("block.kind") == 2) | ~F.coalesce(enough, F.lit(False)) | (F.col("block.score") > F.col("found.score")) | (later & (F.col("block.score") >= F.col("found.score"))))
     pick = lambda name, tagged: F.when(F.col("spdx").isNotNull(), tagged).when(block, F.col(f"block.{name}")).when(enough, F.col(f"found.{name}"))
-    scanned = scanned.select("id", "directory", "licenses", pick("license", F.col("spdx")).alias("own_license"), pick("score", F.lit(1.0)).alias("own_score"))
+    scanned = kept(scanned.select("id", "directory", "licenses", pick("license", F.col("spdx")).alias("own_license"), pick("score", F.lit(1.0)).alias("own_score")))
 
     # A group's files are pre-added in each task, so a directory with a third of all files is a row.
     best = F.max(F.when(F.col("licenses") & F.col("own_license").isNotNull(), F.struct("own_score", "own_license")))
@@ -237,7 +249,7 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     ancestors = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.when(F.concat_ws("/", F.slice(parts, F.lit(1), k)) == "", F.lit(0)).otherwise(k).alias("depth"), F.concat_ws("/", F.slice(parts, F.lit(1), k)).alias("above"))))
     licensed = directories.filter("license is not null").select(F.col("directory").alias("above"), "license")
     upward = directories.select("directory", F.explode(ancestors).alias("a")).select("directory", "a.depth", "a.above")
-    nearest = upward.join(licensed, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "license")).alias("n"))
+    nearest = below(upward, licensed).groupBy("directory").agg(F.max(F.struct("depth", "above", "license")).alias("n"))
     out = scanned.join(nearest, "directory", "left")
     own = F.col("own_license").isNotNull()
     return out.select(
