@@ -190,16 +190,16 @@ def spdx(text: Column) -> Column:
     return F.nullif(F.regexp_replace(stated, r"(?i)^([^ ]+?)(-only|-or-later|\+)$", "$1"), F.lit(""))
 
 
-def below(upward: DataFrame, licensed: DataFrame, spread: int = 100_000) -> DataFrame:
-    """upward (directory, depth, above) with the licences of ``above``, for those that have one.
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str, spread: int = 100_000) -> DataFrame:
+    """rows joined with ``table``, which has one row for each ``key`` at most.
 
-    A directory that ``spread`` others or more lie below is dealt to as many parts as it needs.
+    A key that more than ``spread`` rows have is dealt to as many parts as it needs, by ``by``.
     """
-    wide = upward.groupBy("above").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = licensed.join(wide, "above", "left").select("above", "license", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    rows = upward.join(wide, "above", "left").withColumn("part", F.pmod(F.xxhash64("directory"), parts).cast("int")).drop("parts")
-    return rows.join(dealt, ["above", "part"]).drop("part")
+    wide = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = table.join(wide, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    split = rows.join(wide, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    return split.join(dealt, [key, "_part"], how).drop("_part")
 
 
 def url_path(url: Column) -> Column:
@@ -249,8 +249,8 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     ancestors = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.when(F.concat_ws("/", F.slice(parts, F.lit(1), k)) == "", F.lit(0)).otherwise(k).alias("depth"), F.concat_ws("/", F.slice(parts, F.lit(1), k)).alias("above"))))
     licensed = directories.filter("license is not null").select(F.col("directory").alias("above"), "license")
     upward = directories.select("directory", F.explode(ancestors).alias("a")).select("directory", "a.depth", "a.above")
-    nearest = below(upward, licensed).groupBy("directory").agg(F.max(F.struct("depth", "above", "license")).alias("n"))
-    out = scanned.join(nearest, "directory", "left")
+    nearest = dealt_join(upward, licensed, "above", "directory", "inner").groupBy("directory").agg(F.max(F.struct("depth", "above", "license")).alias("n"))
+    out = dealt_join(scanned, nearest, "directory", "id", "left")
     own = F.col("own_license").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
