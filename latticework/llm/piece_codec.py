@@ -5,8 +5,9 @@ merge can ever join symbols across such a place, so the parts encode independent
 hold is proved from the vocabulary when it is loaded. Inside a part an agenda ordered by score,
 then by position, holds the adjacent symbol pairs whose concatenation is a piece; the best pair
 is merged, its new neighbours enter the agenda, and stale entries are skipped. Symbols that are
-no piece in the end fall back to their bytes. Each Arrow batch checks a share of the parts it
-meets first against the sentencepiece library and raises on any difference.
+no piece in the end fall back to their bytes. In each Arrow batch every part that is met for the
+first time is encoded and decoded by the sentencepiece library too, and so is one whole text of
+each slice; any difference raises an error.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import functools
 import hashlib
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -30,12 +30,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: piece types
 
 
 class PieceCodec:
-    """Encoder and decoder of one model file; built once per Python worker.
+    """Encoder and decoder of one model file; built once per Python worker."""
 
-    ``check_share``: one part in so many of those first met is also encoded by the library.
-    """
-
-    def __init__(self, model_path: str, check_share: int = 16):
+    def __init__(self, model_path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -56,7 +53,6 @@ class PieceCodec:
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.id_byte = {i: b for b, i in self.byte_id.items()}
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.check_share = check_share
         self.find = re.compile(self.cuts()).findall
         self.memo = Memo(self.parts, cap=400_000)
 
@@ -132,13 +128,20 @@ class PieceCodec:
     def parts(self, missing: list[str]) -> list[tuple[bytes, str]]:
         """For each part: its ids as little-endian 32-bit integers, and its decoded text."""
         ids = [self.agenda(p) for p in missing]
-        share = [i for i, p in enumerate(missing) if zlib.crc32(p.encode()) % self.check_share == 0]
+        found = [(array("I", x).tobytes(), self.surface_of(x)) for x in ids]
         # The library puts its prefix mark before a text; a leading newline keeps the part apart from it.
         lead = self.library.encode("\n")
-        for i, whole in zip(share, self.library.encode(["\n" + missing[i].replace(MARK, " ") for i in share], num_threads=1), strict=True):
-            if whole != lead + ids[i]:
-                raise ValueError(f"encoding differs from the library's for {missing[i]!r}")
-        return [(array("I", x).tobytes(), self.surface_of(x)) for x in ids]
+        whole = self.library.encode(["\n" + p.replace(MARK, " ") for p in missing], num_threads=1)
+        for p, own, (_, text), theirs, decoded in zip(missing, ids, found, whole, self.library.decode(whole, num_threads=1), strict=True):
+            if theirs != lead + own or decoded != "\n" + text:
+                raise ValueError(f"encoding differs from the library's for {p!r}")
+        return found
+
+    def compare(self, text: str, ids: bytes, decoded: str) -> None:
+        """ValueError if a whole text's ids, begin and end included, or their decoded text differ from the library's."""
+        theirs = self.library.encode(text, add_bos=True, add_eos=True)
+        if array("I", theirs).tobytes() != ids or self.library.decode(theirs) != decoded:
+            raise ValueError(f"encoding differs from the library's for {text[:200]!r}")
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text: ids with begin and end as bytes, and what those ids decode to."""
@@ -150,6 +153,8 @@ class PieceCodec:
             got = [known[p] for p in parts]
             text = "".join([x[1] for x in got])
             out.append((b"".join([first, *[x[0] for x in got], last]), text[1:] if text[:1] == " " else text))
+        if texts:
+            self.compare(texts[0], *out[0])
         return out
 
 
@@ -163,8 +168,9 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     Returns doc_id, n_tokens (begin and end included), ids (binary, little-endian 32-bit),
     decoded (the text that the ids decode to). A null text counts as empty: begin and end only,
-    decoded to the empty text. Null ids stay null, repeated rows are encoded one by one, an empty
-    table gives an empty one, other columns are not read. Map-only.
+    decoded to the empty text; a text of any length is encoded whole. Null ids stay null, repeated
+    rows are encoded one by one, an empty table gives an empty one, other columns are not read. Of
+    pairs with equal scores the first in the text is merged. Map-only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ def test_piece_codec_equals_the_library(spark):
 
 
 def test_agenda_on_random_strings():
-    own = piece_codec.PieceCodec(vocabulary("piece_bpe_32k.model"), check_share=1)
+    own = piece_codec.PieceCodec(vocabulary("piece_bpe_32k.model"))
     r = random.Random(5)
     for _ in range(300):
         text = "".join(r.choice("abehinorst eth ing,.12é▁\n") for _ in range(r.randint(1, 40)))
@@ -621,6 +621,14 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0), "id", "path", "body").collect() == []
 
 
+def test_wide_directories_are_dealt(spark):
+    upward = spark.createDataFrame([(f"host/d{i}", d, a) for i in range(50) for d, a in ((0, ""), (1, "host"), (2, f"host/d{i}"))], "directory string, depth int, above string")
+    licensed = spark.createDataFrame([("host", "MIT"), ("host/d7", "ISC")], "above string, license string")
+    got = sorted((x["directory"], x["above"], x["license"]) for x in license_scan.dealt_join(upward, licensed, "above", "directory", "inner", spread=8).collect())
+    assert got == sorted([(f"host/d{i}", "host", "MIT") for i in range(50)] + [("host/d7", "host/d7", "ISC")])
+    assert license_scan.dealt_join(upward, licensed, "above", "directory", "left", spread=8).count() == 150
+
+
 def test_every_template_has_a_trigger_and_finds_itself(spark):
     texts = spark.createDataFrame([(i, "p", t) for i, (_, t) in enumerate(license_scan.TEMPLATES)], "id int, path string, body string")
     got = {r["id"]: r["own_license"] for r in license_scan.scan_licenses(texts, "id", "path", "body").collect()}
