@@ -6,8 +6,6 @@ suppliers. The SQL derives the same graphs in common table expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,39 +14,11 @@ from latticework.functions import dfscode as D
 from latticework.functions.signatures import signature
 from latticework.operators import cleaning, containment, embeddings, graphs, segments, statistics
 from latticework.plans import mining
+from latticework.registry import BASE, QUERIES, SQL, Query, adjacency, both_tables, query
 
 MINSUP = 300
 #: Share of the graphs that mine_full's patterns occur in; patterns of more than three edges do.
 FULL_SHARE = 0.05
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-BASE = """WITH it AS (
-  SELECT l_orderkey AS gid, l_partkey AS pk, l_suppkey AS sk,
-    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS ol,
-    CASE WHEN p_size > 25 THEN 11 ELSE 10 END AS pl, 20 + n_regionkey AS sl,
-    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS fl
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-    JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
-nodes AS (
-  SELECT DISTINCT gid, 0 AS kind, 0 AS k, ol AS vlabel FROM it UNION ALL
-  SELECT DISTINCT gid, 1, pk, pl FROM it UNION ALL SELECT DISTINCT gid, 2, sk, sl FROM it),
-numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY gid ORDER BY kind, k) - 1 AS INT) AS vid FROM nodes),
-vertices AS (SELECT gid, vid, vlabel FROM numbered),
-raw AS (
-  SELECT it.gid, 0 AS src, p.vid AS dst, fl AS elabel FROM it JOIN numbered p ON p.gid = it.gid AND p.kind = 1 AND p.k = pk UNION ALL
-  SELECT it.gid, p.vid, s.vid, 3 FROM it JOIN numbered p ON p.gid = it.gid AND p.kind = 1 AND p.k = pk
-    JOIN numbered s ON s.gid = it.gid AND s.kind = 2 AND s.k = sk UNION ALL
-  SELECT it.gid, 0, s.vid, 4 FROM it JOIN numbered s ON s.gid = it.gid AND s.kind = 2 AND s.k = sk),
-edges AS (SELECT gid, src, dst, min(elabel) AS elabel FROM raw GROUP BY gid, src, dst),
-adj AS (
-  SELECT e.gid, e.src, e.dst, a.vlabel AS slabel, e.elabel, b.vlabel AS dlabel
-  FROM (SELECT gid, src, dst, elabel FROM edges UNION ALL SELECT gid, dst, src, elabel FROM edges) e
-    JOIN vertices a ON a.gid = e.gid AND a.vid = e.src JOIN vertices b ON b.gid = e.gid AND b.vid = e.dst),
-seeds AS (SELECT slabel AS fl, elabel AS el, dlabel AS tl, count(DISTINCT gid) AS support FROM adj WHERE slabel <= dlabel GROUP BY ALL)
-"""
-
 SHAPES = """,
 arms AS (SELECT gid, src, dst, slabel, printf('%02d-%02d', elabel, dlabel) AS arm FROM adj),
 occurrences AS (
@@ -74,27 +44,6 @@ patterns AS (SELECT n_edges, shape, signature, count(*) AS support FROM occurren
 """.replace("{minsup}", str(MINSUP))
 
 
-def query(name: str, sql: str | None = None, base: str = BASE) -> Callable[[Query], Query]:
-    """Registers a query, and its SQL after the base expressions."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = base + sql
-        return fn
-
-    return add
-
-
-def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.adjacency_of(graphs.order_graphs(spark, sf_dir))
-
-
-def both_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = graphs.order_graphs(spark, sf_dir)
-    return graphs.vertices_of(rows), graphs.edges_of(rows)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.frequent(mining.seed_support(adjacency(spark, sf_dir)), 10)
 
@@ -155,23 +104,35 @@ def numbered(seeds: DataFrame) -> DataFrame:
 
 @query("seed_embeddings", f"SELECT fl, el, tl, count(*) AS n, count(DISTINCT gid) AS n_graphs FROM adj JOIN seeds ON slabel = fl AND elabel = el AND dlabel = tl WHERE support >= {MINSUP} GROUP BY fl, el, tl")
 def seed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj = adjacency(spark, sf_dir)
-    seeds = numbered(mining.frequent(mining.seed_support(adj), MINSUP))
-    each = embeddings.occurrence_counts(mining.first_embeddings(adj, seeds.select("pid", "fl", "el", "tl")))
-    total = each.groupBy("pid").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_graphs"))
-    return total.join(seeds, "pid").select("fl", "el", "tl", "n", "n_graphs")
+    with mining.held(adjacency(spark, sf_dir)) as adj:
+        seeds = frequent_seeds(adj)
+        each = embeddings.occurrence_counts(mining.first_embeddings(adj, seed_table(spark, seeds)))
+        total = each.groupBy("pid").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_graphs")).collect()
+    return spark.createDataFrame([(*seeds[r["pid"]], r["n"], r["n_graphs"]) for r in total], "fl int, el int, tl int, n long, n_graphs long")
+
+
+def frequent_seeds(adj: DataFrame) -> list[tuple[int, int, int]]:
+    return sorted(tuple(r) for r in mining.frequent(mining.seed_support(adj), MINSUP).select("fl", "el", "tl").collect())
+
+
+def seed_table(spark: SparkSession, seeds: list[tuple[int, int, int]]) -> DataFrame:
+    """Seeds with a pattern number by their labels."""
+    return mining.small(spark.createDataFrame([(i, *s) for i, s in enumerate(seeds)], "pid int, fl int, el int, tl int"), len(seeds))
+
+
+def slot_table(spark: SparkSession, codes: list, only: str | None) -> DataFrame:
+    rows = [x for i, c in enumerate(codes) for x in mining.slots(i, c, only)]
+    return mining.small(spark.createDataFrame(rows, mining.SLOTS), len(rows))
 
 
 def one_edge_growth(spark: SparkSession, sf_dir: str, only: str | None) -> DataFrame:
-    """Growths of every frequent one-edge pattern, with its labels."""
-    adj = adjacency(spark, sf_dir)
-    seeds = sorted(mining.frequent(mining.seed_support(adj), MINSUP).select("fl", "el", "tl").collect())
-    codes = [((0, 1, *s),) for s in seeds]
-    table = spark.createDataFrame([(i, *s) for i, s in enumerate(seeds)], "pid int, fl int, el int, tl int")
-    places = spark.createDataFrame([x for i, c in enumerate(codes) for x in mining.slots(i, c, only)], mining.SLOTS)
-    grown = mining.extensions(mining.first_embeddings(adj, table), adj, places)
-    named = table.select("pid", F.col("fl").alias("fl0"), F.col("el").alias("el0"), F.col("tl").alias("tl0"))
-    return mining.extension_support(grown).join(F.broadcast(named), "pid").drop("pid")
+    """Growths of every frequent one-edge pattern, with its labels; as many rows as label combinations."""
+    with mining.held(adjacency(spark, sf_dir)) as adj:
+        seeds = frequent_seeds(adj)
+        places = slot_table(spark, [((0, 1, *s),) for s in seeds], only)
+        grown = mining.extensions(mining.first_embeddings(adj, seed_table(spark, seeds)), adj, places)
+        rows = mining.extension_support(grown).collect()
+    return spark.createDataFrame([(*r[1:], *seeds[r["pid"]]) for r in rows], "f int, t int, fl int, el int, tl int, support long, fl0 int, el0 int, tl0 int")
 
 
 ONE_EDGE = f", emb AS (SELECT gid, src AS v0, dst AS v1, slabel AS fl0, elabel AS el0, dlabel AS tl0 FROM adj JOIN seeds ON slabel = fl AND elabel = el AND dlabel = tl WHERE support >= {MINSUP})"
@@ -198,18 +159,16 @@ def ext_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAINS = ONE_EDGE + ", chain AS (SELECT emb.*, dst AS v2, elabel AS el1, dlabel AS tl1 FROM emb JOIN adj ON adj.gid = emb.gid AND src = v1 WHERE dst <> v0 AND dlabel >= fl0)"
 
 
-def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Adjacency, chains of two edges grown purely forward (pid, gid, vmap), and their dictionary."""
-    adj = adjacency(spark, sf_dir)
-    seeds = sorted(mining.frequent(mining.seed_support(adj), MINSUP).select("fl", "el", "tl").collect())
-    table = spark.createDataFrame([(i, *s) for i, s in enumerate(seeds)], "pid int, fl int, el int, tl int")
-    places = spark.createDataFrame([x for i, s in enumerate(seeds) for x in mining.slots(i, ((0, 1, *s),), "pure")], mining.SLOTS)
-    grown = mining.extensions(mining.first_embeddings(adj, table), adj, places)
+def chains(spark: SparkSession, adj: DataFrame) -> tuple[DataFrame, list]:
+    """Chains of two edges grown purely forward (pid, gid, vmap), and their codes by pid. adj is held."""
+    seeds = frequent_seeds(adj)
+    grown = mining.extensions(mining.first_embeddings(adj, seed_table(spark, seeds)), adj, slot_table(spark, [((0, 1, *s),) for s in seeds], "pure"))
     kinds = sorted(r[:6] for r in grown.select("pid", "f", "t", "fl", "el", "tl").distinct().collect())
-    codes = [((0, 1, *seeds[k[0]]), tuple(k[1:])) for k in kinds]
     children = spark.createDataFrame([(*k, i) for i, k in enumerate(kinds)], "pid int, f int, t int, fl int, el int, tl int, child int")
-    names = spark.createDataFrame([(i, *c[0][2:], *c[1][3:]) for i, c in enumerate(codes)], "pid int, fl0 int, el0 int, tl0 int, el1 int, tl1 int")
-    return adj, mining.grow(grown, children), names
+    return mining.grow(grown, mining.small(children, len(kinds))), [((0, 1, *seeds[k[0]]), tuple(k[1:])) for k in kinds]
+
+
+CHAIN = "fl0 int, el0 int, tl0 int, el1 int, tl1 int"
 
 
 @query(
@@ -217,11 +176,10 @@ def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     CHAINS + " SELECT fl0, el0, tl0, el1, tl1, elabel AS el, count(DISTINCT chain.gid) AS support FROM chain JOIN adj ON adj.gid = chain.gid AND src = v2 AND dst = v0 WHERE el0 < elabel OR (el0 = elabel AND tl0 <= tl1) GROUP BY ALL",
 )
 def ext_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj, held, names = chains(spark, sf_dir)
-    codes = [(r["pid"], ((0, 1, r["fl0"], r["el0"], r["tl0"]), (1, 2, r["tl0"], r["el1"], r["tl1"]))) for r in names.collect()]
-    places = spark.createDataFrame([x for pid, c in codes for x in mining.slots(pid, c, "backward")], mining.SLOTS)
-    support = mining.extension_support(mining.extensions(held, adj, places))
-    return support.join(F.broadcast(names), "pid").select("fl0", "el0", "tl0", "el1", "tl1", "el", "support")
+    with mining.held(adjacency(spark, sf_dir)) as adj:
+        grown, codes = chains(spark, adj)
+        rows = mining.extension_support(mining.extensions(grown, adj, slot_table(spark, codes, "backward"))).collect()
+    return spark.createDataFrame([(*codes[r["pid"]][0][2:], *codes[r["pid"]][1][3:], r["el"], r["support"]) for r in rows], f"{CHAIN}, el int, support long")
 
 
 @query(
@@ -229,11 +187,16 @@ def ext_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     CHAINS + " SELECT fl0, el0, tl0, el1, tl1, count(*) AS n FROM chain WHERE EXISTS (SELECT 1 FROM adj WHERE adj.gid = chain.gid AND src = v2 AND dst = v0 AND elabel = 4) GROUP BY ALL",
 )
 def backward_filter_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains that an edge of label 4 closes."""
-    adj, held, names = chains(spark, sf_dir)
-    ends = held.select("pid", "gid", F.get("vmap", F.lit(2)).alias("src"), F.get("vmap", F.lit(0)).alias("dst"))
-    kept = ends.join(adj.filter("elabel = 4").select("gid", "src", "dst"), ["gid", "src", "dst"], "left_semi")
-    return kept.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(names), "pid").drop("pid")
+    """Chains that an edge of label 4 closes: a filter of the last column by a backward extension's rows."""
+    with mining.held(adjacency(spark, sf_dir)) as adj:
+        grown, codes = chains(spark, adj)
+        place = F.struct("pid", "gid", "vmap")
+        column = grown.select(place.alias("place"), F.get("vmap", F.lit(2)).alias("vertex_id"), F.get("vmap", F.lit(1)).alias("back_link"))
+        ends = grown.select("gid", place.alias("row"), F.get("vmap", F.lit(2)).alias("src"), F.get("vmap", F.lit(0)).alias("dst"))
+        closing = ends.join(adj, ["gid", "src", "dst"]).select(F.lit(2).alias("f"), F.lit(0).alias("t"), "slabel", F.col("elabel").alias("el"), "dlabel", "row")
+        closing = closing.select("f", "t", F.lit(0).alias("fl"), "el", F.lit(0).alias("tl"), "row")  # the end labels are the chain's
+        rows = embeddings.backward_filter(column, closing, (2, 0, 0, 4, 0)).groupBy("place.pid").agg(F.count(F.lit(1)).alias("n")).collect()
+    return spark.createDataFrame([(*codes[r["pid"]][0][2:], *codes[r["pid"]][1][3:], r["n"]) for r in rows], f"{CHAIN}, n long")
 
 
 def mined(spark: SparkSession, sf_dir: str, max_edges: int) -> DataFrame:
@@ -384,7 +347,7 @@ def shrink_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT n_graphs, n_vertices, n_edges, n_vlabels, n_elabels, round(n_edges / n_graphs, 6) AS avg_edges, round(n_vertices / n_graphs, 6) AS avg_vertices, round(2 * n_edges / n_vertices, 6) AS avg_degree FROM (SELECT count(DISTINCT gid) AS n_graphs, count(*) AS n_vertices, count(DISTINCT vlabel) AS n_vlabels FROM vertices), (SELECT count(*) AS n_edges, count(DISTINCT elabel) AS n_elabels FROM edges)",
 )
 def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.database_statistics(*both_tables(spark, sf_dir))
+    return statistics.collection_statistics(graphs.order_graphs(spark, sf_dir))
 
 
 @query(
@@ -412,7 +375,7 @@ def vertex_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gid_dense_remap", "SELECT gid, dense_rank() OVER (ORDER BY gid) - 1 AS dense FROM (SELECT DISTINCT gid FROM edges)")
 def gid_dense_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.dense_ids(both_tables(spark, sf_dir)[1], "gid", "dense")
+    return embeddings.dense_ids(graphs.order_gids(spark, sf_dir), "gid", "dense")
 
 
 @query(
@@ -462,7 +425,7 @@ def partition_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven contiguous parts of the collection, the last one with the remainder."""
     from latticework.sources.graph_files import part_of
 
-    places = embeddings.dense_ids(both_tables(spark, sf_dir)[1], "gid", "i")
+    places = embeddings.dense_ids(graphs.order_gids(spark, sf_dir), "gid", "i")
     parts = places.withColumn("part", part_of(F.col("i"), places.count(), 7))
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n_graphs"), F.min("gid").alias("first_gid"), F.max("gid").alias("last_gid"))
 
@@ -518,6 +481,9 @@ def log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.log_values(lines.unionAll(other))
 
 
+from latticework import catalog_more  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -12,11 +12,11 @@ Exit codes of ``mine``: 1 for wrong arguments, 2 if the support isn't below the
 from __future__ import annotations
 
 import sys
-import time
 
 from pyspark.sql import SparkSession
 
 from latticework import sinks
+from latticework.metrics import Metrics
 from latticework.operators import cleaning, graphs, statistics
 from latticework.plans import mining
 from latticework.sources import graph_files
@@ -34,7 +34,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         return 0
     table = graph_files.read_graphs(spark, args[1], args[2])
     if args[0] == "stats":
-        print(statistics.database_statistics(graphs.vertices_of(table), graphs.edges_of(table)).first().asDict())
+        print(statistics.collection_statistics(table).first().asDict())
         return 0
     if args[0] == "convert":
         vertices, edges = cleaning.fix_database(graphs.vertices_of(table), graphs.edges_of(table))
@@ -45,12 +45,13 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         return 2
     if minsup < 1:
         return 3
-    began = time.time()
-    patterns = mining.mine(graphs.adjacency_of(table), minsup)
-    total = sinks.count(patterns)
-    if len(args) == 5 and args[4] != "-":
-        sinks.to_text(patterns, args[4])
-    print(f"[VAL] [total_time={time.time() - began:.3f}] [total_frequent_graphs={total}]")
+    metrics = Metrics()
+    with metrics.timed("total_time"):
+        patterns = mining.mine(graphs.adjacency_of(table), minsup, strategy=mining.Strategy(on_level=[metrics.levels]))
+        metrics.put("total_frequent_graphs", sinks.count(patterns))
+        if len(args) == 5 and args[4] != "-":
+            sinks.to_text(patterns, args[4])
+    print(metrics.report())
     return 0
 
 

@@ -31,10 +31,13 @@ def fix_edges(edges: DataFrame) -> DataFrame:
 
 
 def relabel_one_based(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graphs whose edges never touch vertex 0 lose it, and their other numbers go down by one."""
+    """Graphs whose edges never touch vertex 0 lose it, and their other numbers go down by one.
+
+    A graph without edges loses its vertex 0 too, as nothing touches it.
+    """
     touched = edges.groupBy("gid").agg(F.min(F.least("src", "dst")).alias("least"))
     shift = touched.select("gid", (F.col("least") > 0).cast("int").alias("shift"))
-    v = vertices.join(shift, "gid", "left").withColumn("shift", F.coalesce("shift", F.lit(0)))
+    v = vertices.join(shift, "gid", "left").withColumn("shift", F.coalesce("shift", F.lit(1)))
     v = v.filter("shift = 0 or vid > 0").select("gid", (F.col("vid") - F.col("shift")).alias("vid"), "vlabel")
     e = edges.join(shift, "gid").select("gid", (F.col("src") - F.col("shift")).alias("src"), (F.col("dst") - F.col("shift")).alias("dst"), "elabel")
     return v, e
@@ -71,8 +74,8 @@ def compact_labels(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     dv = label_dictionary(vertices, "vlabel", ["gid", "vid"])
     both = edges.unionByName(edges.select("gid", F.col("dst").alias("src"), F.col("src").alias("dst"), "elabel"))
     de = label_dictionary(both, "elabel", ["gid", "src", "dst"])
-    v = vertices.join(F.broadcast(dv), F.col("vlabel") == F.col("label")).select("gid", "vid", F.col("code").alias("vlabel"))
-    e = edges.join(F.broadcast(de), F.col("elabel") == F.col("label")).select("gid", "src", "dst", F.col("code").alias("elabel"))
+    v = vertices.join(dv, F.col("vlabel") == F.col("label")).select("gid", "vid", F.col("code").alias("vlabel"))
+    e = edges.join(de, F.col("elabel") == F.col("label")).select("gid", "src", "dst", F.col("code").alias("elabel"))
     return v, e, dv, de
 
 

@@ -7,7 +7,6 @@ back_link being the place of the row in the column before. Extension rows are
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +23,11 @@ def distinct_support(extensions: DataFrame, max_vertices: int) -> DataFrame:
     return extensions.select(*keys, graph_of("from_grph", max_vertices).alias("gid")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("support"))
 
 
+def extension_graphs(extensions: DataFrame, max_vertices: int) -> DataFrame:
+    """f, t, fl, el, tl, gid: the graphs of each extension, whose number is its support."""
+    return extensions.select("f", "t", "fl", "el", "tl", graph_of("from_grph", max_vertices).alias("gid")).distinct()
+
+
 def backward_filter(column: DataFrame, extensions: DataFrame, edge: tuple[int, int, int, int, int]) -> DataFrame:
     """Rows of the last embedding column that a backward extension closes: a left semi join on the row."""
     match = [F.col(c) == v for c, v in zip(("f", "t", "fl", "el", "tl"), edge)]
@@ -57,7 +61,7 @@ def backward_forward_intersection(last: DataFrame, backward_rows: DataFrame, for
     Kept rows are numbered anew, and the forward column's links follow.
     """
     kept = last.join(backward_rows.select(F.col("row").alias("place")).distinct(), "place", "left_semi")
-    numbered = kept.withColumn("link", F.row_number().over(W.orderBy("place")) - 1).select(F.col("place").alias("back_link"), "link")
+    numbered = dense_ids(kept, "place", "link").withColumnRenamed("place", "back_link")
     return forward.join(numbered, "back_link").select("vertex_id", F.col("link").alias("back_link"))
 
 
@@ -86,23 +90,44 @@ def derived_extensions(last: DataFrame, others: DataFrame) -> DataFrame:
     return others.join(a, "back_link").filter("own != vertex_id").select("ext", "vertex_id", F.col("link").alias("back_link"))
 
 
+def derived_after_backward(last: DataFrame, backward_rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Extensions of a child that a backward edge has made: its parent's forward ones, on the rows that stay.
+
+    others: (ext, back_link, vertex_id) of the parent's forward extensions. The rows that the
+    backward extension keeps are numbered anew; an extension's rows follow them. The backward
+    edge adds no vertex, so none has to differ.
+    """
+    kept = last.join(backward_rows.select(F.col("row").alias("place")).distinct(), "place", "left_semi")
+    numbered = dense_ids(kept, "place", "link").withColumnRenamed("place", "back_link")
+    return others.join(numbered, "back_link").select("ext", "vertex_id", F.col("link").alias("back_link"))
+
+
 def occurrence_counts(embeddings: DataFrame) -> DataFrame:
     """pid, gid, n: embeddings of each pattern in each graph."""
     return embeddings.groupBy("pid", "gid").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_ids(rows: DataFrame, id_col: str, out: str) -> DataFrame:
+def dense_ids(rows: DataFrame, id_col: str, out: str, by: str | None = None, parts: int = 200) -> DataFrame:
     """id_col and its dense number from 0, in order, without sorting all ids in one task.
 
-    Ids are range partitioned; a partition's numbers start after the ids of those before it. The
-    distinct ids, which are read for the ranges, the sizes and the numbers, are held meanwhile.
+    Ids are cut into ranges at quantiles of ``by``, a number that never falls as the id rises (by
+    default the id itself); a range's numbers start after the ids of those before it. What comes
+    to the driver is the bounds and sizes of ``parts`` ranges at most.
     """
-    ids = rows.select(id_col).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = ids.repartitionByRange(F.col(id_col)).withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(id_col)))
-    sizes = local.groupBy("part").agg(F.max("r").alias("n"))
-    before = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
-    return local.join(F.broadcast(before), "part").select(id_col, (F.col("start") + F.col("r") - 1).alias(out))
+    by = by or id_col
+    ids = rows.select(*dict.fromkeys([id_col, by])).distinct()
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(ids.agg(F.percentile_approx(by, shares)).first()[0] or []))
+    part = F.lit(0)
+    if cuts:
+        part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by)))
+    placed = ids.select(id_col, part.alias("part"))
+    sizes, starts, total = dict(placed.groupBy("part").count().collect()), [], 0
+    for i in range(len(cuts) + 1):
+        starts.append(total)
+        total += sizes.get(i, 0)
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("part") + 1)
+    return placed.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(id_col))).select(id_col, (start + F.col("r") - 1).alias(out))
 
 
 def block_heads(rows: DataFrame, keys: list[str], order: list[str], group: list[str]) -> DataFrame:

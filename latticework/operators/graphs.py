@@ -61,6 +61,11 @@ def order_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("gid", "vlabels", first.alias("edges"))
 
 
+def order_gids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gid of every order graph, each once; keys alone are read."""
+    return order_items(spark, sf_dir).select("gid").distinct()
+
+
 def vertices_of(graphs: DataFrame) -> DataFrame:
     """vertices of a table of whole graphs."""
     return graphs.select("gid", F.posexplode("vlabels").alias("vid", "vlabel"))
@@ -82,12 +87,14 @@ def adjacency_of(graphs: DataFrame) -> DataFrame:
 def to_rows(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Whole graphs from vertices and edges: the columnar form, one row for each graph.
 
-    Vertex numbers must be dense from 0 within a graph.
+    Vertex numbers must be dense from 0 within a graph: the query fails on gaps and repeats.
     """
     v = vertices.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("vid", "vlabel"))).alias("v"))
+    dense = F.col("v.vid") == F.transform("v", lambda _, i: i)
+    gap = F.raise_error(F.concat(F.lit("vertex numbers aren't dense from 0: graph "), F.col("gid").cast("string"))).cast("array<int>")
     e = edges.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "elabel"))).alias("edges"))
     none = F.array().cast("array<struct<src:int,dst:int,elabel:int>>")
-    return v.join(e, "gid", "left").select("gid", F.col("v.vlabel").alias("vlabels"), F.coalesce("edges", none).alias("edges"))
+    return v.join(e, "gid", "left").select("gid", F.when(dense, F.col("v.vlabel")).otherwise(gap).alias("vlabels"), F.coalesce("edges", none).alias("edges"))
 
 
 def adjacency(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -20,15 +20,33 @@ def label_sets(adj: DataFrame) -> DataFrame:
 def database_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: graphs, vertices, edges, averages for each graph, label counts, average degree.
 
-    Each table is read once and pre-added by label; graphs are counted by their vertex 0.
+    Each table is read once and pre-added by graph and label; a graph is a gid with vertices,
+    whatever their numbers.
     """
-    first = (F.col("vid") == 0).cast("long")
-    by_label = vertices.groupBy("vlabel").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("graphs"))
-    v = by_label.agg(F.sum("graphs").alias("n_graphs"), F.sum("n").alias("n_vertices"), F.count(F.lit(1)).alias("n_vlabels"))
+    by_gid = vertices.groupBy("gid", "vlabel").agg(F.count(F.lit(1)).alias("n"))
+    v = by_gid.agg(F.count_distinct("gid").alias("n_graphs"), F.sum("n").alias("n_vertices"), F.count_distinct("vlabel").alias("n_vlabels"))
     e = edges.groupBy("elabel").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.count(F.lit(1)).alias("n_elabels"))
-    both = v.join(F.broadcast(e))  # one row each
-    per = lambda a, b: F.round(F.col(a) / F.col(b), 6)
-    return both.select("n_graphs", "n_vertices", "n_edges", "n_vlabels", "n_elabels", per("n_edges", "n_graphs").alias("avg_edges"), per("n_vertices", "n_graphs").alias("avg_vertices"), F.round(2 * F.col("n_edges") / F.col("n_vertices"), 6).alias("avg_degree"))
+    return averages(v.join(F.broadcast(e)))  # one row each
+
+
+def averages(totals: DataFrame) -> DataFrame:
+    per = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    return totals.select("n_graphs", "n_vertices", "n_edges", "n_vlabels", "n_elabels", per("n_edges", "n_graphs").alias("avg_edges"), per("n_vertices", "n_graphs").alias("avg_vertices"), F.round(2 * F.col("n_edges") / F.nullif(F.col("n_vertices"), F.lit(0)), 6).alias("avg_degree"))
+
+
+def collection_statistics(graphs: DataFrame) -> DataFrame:
+    """``database_statistics`` of a table of whole graphs, in one pass over its rows.
+
+    A graph's row gives its sizes and its labels; sums and labels are pre-added in each task.
+    """
+    labels = lambda kind, found: F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+    both = F.concat(labels(0, F.col("vlabels")), labels(1, F.col("edges.elabel")))
+    rows = graphs.select(F.size("vlabels").alias("nv"), F.size("edges").alias("ne"), F.posexplode_outer(both).alias("at", "x"))
+    once = lambda c: F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, c).otherwise(0))
+    by_label = rows.groupBy("x").agg(once(F.lit(1)).alias("g"), once(F.col("nv")).alias("v"), once(F.col("ne")).alias("e"))
+    kinds = lambda kind: F.count(F.when(F.col("x.kind") == kind, 1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return averages(by_label.agg(total("g").alias("n_graphs"), total("v").alias("n_vertices"), total("e").alias("n_edges"), kinds(0).alias("n_vlabels"), kinds(1).alias("n_elabels")))
 
 
 def pattern_statistics(patterns: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Everything before the count is partitioned by gid and stays there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 
 from latticework.functions import dfscode as D
 
+#: Rows of a driver-made or counted table up to which it is broadcast (some 100 MB); longer ones are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 PATTERNS = "code string, n_edges int, n_vertices int, support long"
 
 
+def small(table: DataFrame, n: int) -> DataFrame:
+    """table, to be broadcast if its number of rows allows."""
+    return F.broadcast(table) if n <= MOST_BROADCAST else table
+
+
 @contextmanager
 def co_partitioned(spark: SparkSession):
     """Lets joins on (gid, vertex) use a partitioning by gid alone; the setting is restored."""
@@ -55,13 +62,31 @@ def frequent(supports: DataFrame, minsup: int) -> DataFrame:
 def shrink(adj: DataFrame, minsup: int) -> DataFrame:
     """Edges whose label triple is frequent; no frequent pattern has another."""
     f = frequent(seed_support(adj), minsup).select(F.col("fl").alias("lo"), F.col("el").alias("elabel"), F.col("tl").alias("hi"))
-    return adj.withColumns({"lo": F.least("slabel", "dlabel"), "hi": F.greatest("slabel", "dlabel")}).join(F.broadcast(f), ["lo", "elabel", "hi"], "left_semi").select(*adj.columns)
+    known = f.limit(MOST_BROADCAST + 1).collect()
+    if len(known) <= MOST_BROADCAST:
+        f = F.broadcast(adj.sparkSession.createDataFrame(known, f.schema))
+    return adj.withColumns({"lo": F.least("slabel", "dlabel"), "hi": F.greatest("slabel", "dlabel")}).join(f, ["lo", "elabel", "hi"], "left_semi").select(*adj.columns)
+
+
+@contextmanager
+def held(adj: DataFrame):
+    """adj partitioned by gid and held, so that a query that reads it several times builds it once."""
+    with co_partitioned(adj.sparkSession):
+        base = adj.repartition("gid").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield base
+        finally:
+            base.unpersist()
 
 
 def first_embeddings(adj: DataFrame, seeds: DataFrame) -> DataFrame:
-    """pid, gid, vmap of one-edge patterns (pid, fl, el, tl); equal end labels give both directions."""
+    """pid, gid, vmap of one-edge patterns (pid, fl, el, tl); equal end labels give both directions.
+
+    seeds, places and children are tables that the driver has made of its patterns: the callers
+    pass them through ``small``.
+    """
     ends = [F.col("slabel") == F.col("fl"), F.col("elabel") == F.col("el"), F.col("dlabel") == F.col("tl")]
-    return adj.join(F.broadcast(seeds), ends).select("pid", "gid", F.array("src", "dst").alias("vmap"))
+    return adj.join(seeds, ends).select("pid", "gid", F.array("src", "dst").alias("vmap"))
 
 
 SLOTS = "pid int, f int, t int, fl int, back boolean, least_el int, least_label int, root_label int, end_label int"
@@ -95,12 +120,29 @@ def slots(pid: int, code: D.Code, only: str | None = None, allowed: set[int] | N
     return [row for kind, row in out if only in (None, kind) and open_to(kind, row[1])]
 
 
+def possible(code: D.Code, edge: D.Edge) -> bool:
+    """Whether a growth's labels let a code with it be canonical: no lower than the root's and, off the path, than the path edge's.
+
+    Backward growths are always possible; a forward one must leave the rightmost path.
+    """
+    f, t, _, el, tl = edge
+    if f > t:
+        return True
+    path = D.rightmost_path(code)
+    if tl < code[0][2]:
+        return False
+    if f == code[path[0]][1]:
+        return True
+    leaving = [code[i] for i in path if code[i][0] == f]
+    return bool(leaving) and (leaving[0][3], leaving[0][4]) <= (el, tl)
+
+
 def extensions(embeddings: DataFrame, adj: DataFrame, places: DataFrame) -> DataFrame:
     """pid, gid, vmap, f, t, fl, el, tl, dst of every way an embedding grows at its pattern's slots.
 
     Embeddings and adjacency meet on (gid, vertex); label order and membership are residual.
     """
-    at = embeddings.join(F.broadcast(places), "pid").withColumn("src", F.get("vmap", F.col("f")))
+    at = embeddings.join(places, "pid").withColumn("src", F.get("vmap", F.col("f")))
     near = adj.select("gid", "src", "dst", F.col("elabel").alias("el"), F.col("dlabel").alias("tl"))
     grown = at.join(near, ["gid", "src"])
     beyond = F.col("least_el").isNull() | (F.col("least_el") < F.col("el"))
@@ -119,17 +161,22 @@ def grow(grown: DataFrame, children: DataFrame) -> DataFrame:
     """Embeddings of the children: forward appends the new vertex, backward keeps the mapping."""
     keys = ["pid", "f", "t", "fl", "el", "tl"]
     vmap = F.when(F.col("f") < F.col("t"), F.concat("vmap", F.array("dst"))).otherwise(F.col("vmap"))
-    return grown.join(F.broadcast(children), keys).select(F.col("child").alias("pid"), "gid", vmap.alias("vmap"))
+    return grown.join(children, keys).select(F.col("child").alias("pid"), "gid", vmap.alias("vmap"))
 
 
 @dataclass
 class Strategy:
-    """What a caller may replace: which growths to count, and what happens to a finished level."""
+    """What a caller may replace: where patterns grow, which growths count, which codes are canonical, what happens to a finished level."""
 
     only: str | None = None
+    wanted: Callable[[D.Code, D.Edge], bool] = lambda code, edge: True  # frequent growths that are followed
     many: int = 20_000  # candidates beyond which canonicality is tested on the executors
     on_level: list = field(default_factory=list)
 
+    def places(self, pid: int, code: D.Code, allowed: set[int] | None) -> list[tuple]:
+        """Rows of SLOTS at which a pattern may grow."""
+        return slots(pid, code, self.only, allowed)
+
     def canonical(self, spark: SparkSession, codes: list[D.Code]) -> list[bool]:
         if len(codes) <= self.many:
             return [D.is_minimal(c) for c in codes]
@@ -152,14 +199,13 @@ def mine_codes(adj: DataFrame, minsup: int, max_edges: int | None = None, strate
     check_support(minsup)
     spark, own = adj.sparkSession, strategy or Strategy()
     found: list[tuple[D.Code, int]] = []
-    with co_partitioned(spark):
-        base = shrink(adj, minsup).repartition("gid").persist(StorageLevel.MEMORY_AND_DISK)
-        held = [base]
+    with held(shrink(adj, minsup)) as base:
+        alive = []
         try:
             seeds = frequent(seed_support(base), minsup).collect()
             level = {i: (((0, 1, r["fl"], r["el"], r["tl"]),), r["support"]) for i, r in enumerate(sorted(seeds, key=lambda r: r[:3]))}
             table = spark.createDataFrame([(i, c[0][2], c[0][3], c[0][4]) for i, (c, _) in level.items()], "pid int, fl int, el int, tl int")
-            embeddings = first_embeddings(base, table)
+            embeddings = first_embeddings(base, small(table, len(level)))
             allowed: dict[int, set[int] | None] = {}
             while level:
                 found += level.values()
@@ -167,10 +213,10 @@ def mine_codes(adj: DataFrame, minsup: int, max_edges: int | None = None, strate
                     call(list(level.values()))
                 if max_edges is not None and len(next(iter(level.values()))[0]) >= max_edges:
                     break
-                places = spark.createDataFrame([s for pid, (c, _) in level.items() for s in slots(pid, c, own.only, allowed.get(pid))], SLOTS)
-                grown = extensions(embeddings, base, places).persist(StorageLevel.MEMORY_AND_DISK)
-                held.append(grown)
-                rows = sorted(frequent(extension_support(grown), minsup).collect())
+                where = [s for pid, (c, _) in level.items() for s in own.places(pid, c, allowed.get(pid))]
+                grown = extensions(embeddings, base, small(spark.createDataFrame(where, SLOTS), len(where))).persist(StorageLevel.MEMORY_AND_DISK)
+                alive.append(grown)
+                rows = [r for r in sorted(frequent(extension_support(grown), minsup).collect()) if own.wanted(level[r["pid"]][0], tuple(r[1:6]))]
                 codes = [level[r["pid"]][0] + ((r["f"], r["t"], r["fl"], r["el"], r["tl"]),) for r in rows]
                 keep = own.canonical(spark, codes)
                 children = [(*r[:6], i) for i, (r, ok) in enumerate(zip(rows, keep, strict=True)) if ok]
@@ -180,10 +226,16 @@ def mine_codes(adj: DataFrame, minsup: int, max_edges: int | None = None, strate
                         grew.setdefault(r["pid"], set()).add(r["f"])
                 allowed = {c[-1]: grew.get(c[0], set()) for c in children}
                 level = {i: (codes[i], rows[i]["support"]) for *_, i in children}
-                table = spark.createDataFrame(children, "pid int, f int, t int, fl int, el int, tl int, child int")
-                embeddings = grow(grown, table)
+                if level and (max_edges is None or len(codes[0]) < max_edges):
+                    # Only the children's embeddings are held on; infrequent growths and the parents go.
+                    table = spark.createDataFrame(children, "pid int, f int, t int, fl int, el int, tl int, child int")
+                    embeddings = grow(grown, small(table, len(children))).persist(StorageLevel.MEMORY_AND_DISK)
+                    embeddings.count()
+                    for df in alive:
+                        df.unpersist()
+                    alive = [embeddings]
         finally:
-            for df in held:
+            for df in alive:
                 df.unpersist()
     return sorted(found, key=lambda p: D.code_key(p[0]))
 

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.operators.embeddings import dense_ids
 from latticework.operators.graphs import to_rows
 
 FORMATS = ("txt", "fsg", "bin", "cudabin")
 ROWS = "gid long, vlabels array<int>, edges array<struct<src:int,dst:int,elabel:int>>"
+#: Bytes of content up to which a collection is written as one binary file.
+MOST_BYTES = 1 << 30
 EDGE = pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("elabel", pa.int32())])
 
 
@@ -52,11 +55,11 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
 
 def ranked(rows: DataFrame) -> DataFrame:
     """rows with gid: the rank of (file, at) among the graphs, by files' names and places."""
-    starts = rows.select("file", "at").distinct()
-    part = starts.repartitionByRange("file", "at").withColumn("part", F.spark_partition_id())
-    local = part.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("file", "at")))
-    before = local.groupBy("part").agg(F.max("r").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    gids = local.join(F.broadcast(before.select("part", "start")), "part").select("file", "at", (F.col("start") + F.col("r") - 1).cast("long").alias("gid"))
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # as many as the reader has listed
+    numbers = F.broadcast(rows.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "file string, number long"))
+    place = (F.col("number") * F.lit(2.0**63) + F.col("at")).alias("place")
+    starts = rows.join(numbers, "file").select(F.struct("number", "at", "file").alias("start"), place)
+    gids = dense_ids(starts, "start", "gid", by="place").select("start.file", "start.at", "gid")
     return rows.join(gids, ["file", "at"])
 
 
@@ -95,8 +98,12 @@ def read_fsg(spark: SparkSession, path: str, per_graph_labels: bool = False) ->
 
     def encoded(table: DataFrame, name: str) -> DataFrame:
         first = table.groupBy(*scope, "label").agg(F.min(F.struct("gid", "line")).alias("first"))
-        codes = first.withColumn(name, (F.row_number().over(W.partitionBy(*scope).orderBy("first")) - 1).cast("int")).drop("first")
-        return table.join(codes, [*scope, "label"])
+        if scope:
+            codes = first.withColumn(name, F.row_number().over(W.partitionBy(*scope).orderBy("first")) - 1)
+        else:
+            places = dense_ids(first.select("first", F.col("first.gid").alias("at")), "first", name, by="at")
+            codes = first.join(places, "first")
+        return table.join(codes.select(*scope, "label", F.col(name).cast("int").alias(name)), [*scope, "label"])
 
     vertices = encoded(own, "vlabel").select("gid", "vid", "vlabel")
     return checked(vertices, encoded(links, "elabel").select("gid", "src", "dst", "elabel"))
@@ -211,12 +218,13 @@ def unpack_columns(raw: bytes) -> Iterator[tuple[int, list[int], list[tuple[int,
         raise ValueError("buffer too small")
     ends, labels = a[4 : 4 + m], a[4 + m : 4 + 2 * m]
     vertex_labels, offsets = a[4 + 2 * m : 4 + 2 * m + n * widest], a[4 + 2 * m + n * widest :]
+    # The next offset that is set, at or after each place.
+    following = np.minimum.accumulate(np.where(offsets >= 0, offsets, np.iinfo(np.int32).max)[::-1])[::-1]
     for g in range(n):
         own = slice(g * widest, (g + 1) * widest)
         size = int((offsets[own] >= 0).sum())
         starts = offsets[own][:size].tolist()
-        later = offsets[(g + 1) * widest :]
-        starts.append(int(later[later >= 0][0]))
+        starts.append(int(following[(g + 1) * widest]))
         edges = [(i, int(ends[k]) - g * widest, int(labels[k])) for i in range(size) for k in range(starts[i], starts[i + 1])]
         yield g, vertex_labels[own][:size].tolist(), sorted(e for e in edges if e[0] < e[1])
 
@@ -233,13 +241,19 @@ def read_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_graphs(graphs: DataFrame, fmt: str, path: str) -> None:
-    """Writes a table of graphs: text by the executors; the single-file binary forms by the driver, as a small collection's exchange format."""
+    """Writes a table of graphs: text by the executors; the single-file binary forms by the driver.
+
+    Those are an exchange format of small collections: ValueError above MOST_BYTES.
+    """
     name = file_format(fmt)
     if name == "txt":
         write_txt(graphs, path)
         return
     if name == "fsg":
         raise ValueError("the string form can't be written")
+    bytes_of = F.sum(F.lit(20).cast("long") + 4 * F.size("vlabels") + 12 * F.size("edges"))
+    if (graphs.agg(bytes_of).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes; write text or Parquet")
     rows = [(r["vlabels"], [tuple(e) for e in r["edges"]]) for r in graphs.orderBy("gid").toLocalIterator()]
     raw = pack_bin(rows) if name == "bin" else pack_columns(rows)
     jvm, conf = graphs.sparkSession._jvm, graphs.sparkSession._jsc.hadoopConfiguration()
@@ -255,5 +269,6 @@ def concatenate(collections: list[DataFrame]) -> DataFrame:
     for c in collections:
         moved = c.withColumn("gid", F.col("gid") + start)
         out = moved if out is None else out.unionByName(moved)
-        start += (c.agg(F.max("gid")).first()[0] or -1) + 1
+        last = c.agg(F.max("gid")).first()[0]
+        start += 0 if last is None else last + 1
     return out

@@ -57,5 +57,32 @@ def test_faults():
         G.file_format("xml")
 
 
+def test_collections_of_one_graph_stay_apart(spark):
+    one = spark.createDataFrame([(0, [1, 2], [(0, 1, 3)])], "gid long, vlabels array<int>, edges array<struct<src:int,dst:int,elabel:int>>")
+    assert [r[0] for r in rows(G.concatenate([one, one.limit(0), one, one]))] == [0, 1, 2]
+
+
+def test_gaps_in_vertex_numbers_fail(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("t # 0\nv 0 1\nv 2 1\nv 3 1\ne 0 2 3\n")
+    with pytest.raises(Exception, match="dense from 0"):
+        G.read_txt(spark, str(tmp_path)).collect()
+
+
+def test_graphs_are_numbered_by_file_and_place(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"t # {i}\nv 0 {ord(name) * 10 + i}\n" for i in range(7)))
+    assert [(r[0], r[1][0]) for r in rows(G.read_txt(spark, str(tmp_path)))] == [(k, v) for k, v in enumerate(ord(n) * 10 + i for n in "abc" for i in range(7))]
+
+
+def test_large_collections_are_not_written_as_one_file(spark, table, tmp_path):
+    before = G.MOST_BYTES
+    G.MOST_BYTES = 10
+    try:
+        with pytest.raises(ValueError):
+            G.write_graphs(table, "bin", str(tmp_path / "graphs"))
+    finally:
+        G.MOST_BYTES = before
+
+
 def test_concatenation(table):
     assert [r[0] for r in rows(G.concatenate([table, table]))] == list(range(8))

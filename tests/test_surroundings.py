@@ -3,7 +3,8 @@ import datetime
 import pytest
 
 from latticework import cli, sinks
-from latticework.operators import graphs
+from latticework.metrics import Metrics
+from latticework.operators import graphs, statistics
 from latticework.plans import mining
 from latticework.sources import generator, graph_files, molecules, results_store
 from latticework.streaming import seed_stream
@@ -98,3 +99,15 @@ def test_stream_totals_equal_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
     seed_stream.follow(stream, folder, str(tmp_path / "state")).awaitTermination()
     assert set(seed_stream.totals(spark, folder).collect()) == set(mining.seed_support(graphs.adjacency_of(table)).collect())
+
+
+def test_metrics_are_read_back(spark):
+    m = Metrics()
+    with m.timed("seconds"):
+        m.add("n", 2)
+        m.add("n")
+    m.put("name", "x")
+    m.levels([(((0, 1, 0, 0, 0),), 5), (((0, 1, 0, 0, 1),), 3)])
+    lines = spark.createDataFrame([(m.report(),), ("[n=9]",)], "value string")
+    got = {r["name"]: r["value"] for r in statistics.log_values(lines).collect()}
+    assert got["n"] == "3" and got["name"] == "x" and float(got["seconds"]) >= 0 and got["patterns_1"] == "2" and got["levels"] == "1"
