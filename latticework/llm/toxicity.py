@@ -21,7 +21,6 @@ import functools
 import math
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,23 +46,36 @@ def count_units(rows: DataFrame) -> DataFrame:
     """unit, pos, unl: confirmed examples (positive 1), and all documents, that have the unit; pre-added in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        number: dict[str, int] = {}  # of each unit, in the order of first appearance
+        known: dict[str, tuple[int, ...]] = {}  # units of each word
+        totals = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def units_of(word: str) -> tuple[int, ...]:
+            found = known.get(word)
+            if found is None:
+                found = known[word] = tuple(number.setdefault(u, len(number)) for u in units(word))
+            return found
 
         def drain() -> pa.RecordBatch:
-            keys = list(seen[0].keys() | seen[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["unit", "pos", "unl"])
-            seen[0].clear()
-            seen[1].clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(totals[1]), pa.array(totals[0])], names=["unit", "pos", "unl"])
+            number.clear()
+            known.clear()
+            totals[:] = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return out
 
         for batch in batches:
             for part in chunks(batch):
+                seen: tuple[list[int], list[int]] = ([], [])
                 for positive, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = {u for w in set(WORDS((text or "").lower())) for u in units(w)}
-                    seen[0].update(found)
+                    found = set().union(*map(units_of, set(WORDS((text or "").lower()))))
+                    seen[0].extend(found)
                     if positive:
-                        seen[1].update(found)
-                if len(seen[0]) > 500_000:
+                        seen[1].extend(found)
+                for k in (0, 1):
+                    new = np.bincount(np.array(seen[k], np.int64), minlength=len(number))
+                    new[: len(totals[k])] += totals[k]
+                    totals[k] = new
+                if len(number) > 500_000:
                     yield drain()
         yield drain()
 
