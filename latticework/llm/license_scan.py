@@ -105,7 +105,7 @@ def best_template(line: Column, idf: dict[str, float], other: float) -> Column:
             return F.aggregate(F.array(*scores[1:]), scores[0], lambda a, s: F.when(s["score"] >= a["score"], s).otherwise(a))
 
         best = F.transform(F.array(weighed), scored)[0]
-        return F.struct((best["score"] / F.nullif(norm, F.lit(0.0))).alias("score"), best["license"].alias("license"))
+        return F.struct(F.round(best["score"] / F.nullif(norm, F.lit(0.0)), 9).alias("score"), best["license"].alias("license"))
 
     return F.transform(F.array(words(line)), of)[0]
 
@@ -233,7 +233,7 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     blocks = match_blocks(files.select(text.alias("text")).filter(text.rlike(BLOCK_TRIGGER)).select(F.sha2("text", 256).alias("digest"), "text"), threshold)
     idf, other = learn_idf(plain)
     empty = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
-    found = F.aggregate(F.transform("lines", lambda line: best_template(line, idf, other)), empty, lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a))
+    found = F.aggregate(F.transform("lines", lambda line: best_template(line, idf, other)), empty, lambda a, s: F.when((s["score"] > a["score"]) | ((s["score"] == a["score"]) & (s["license"] < a["license"])), s).otherwise(a))
     scanned = plain.select("id", "directory", "licenses", "digest", "spdx", found.alias("found")).join(blocks, "digest", "left")
     enough = F.col("found.score") >= threshold
     later = F.col("found.license") == RESERVED

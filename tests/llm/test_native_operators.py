@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from latticework.llm import imatch, license_scan
 
@@ -171,3 +172,17 @@ def test_headers_and_licence_files_are_found(spark):
         if path.endswith("/src/a.py"):
             assert (got[i]["license"], got[i]["origin"]) == (path.split("/")[0], "inherited")
     assert all(re.search(license_scan.BLOCK_TRIGGER, " ".join(w)) for _, _, w in license_scan.block_templates())
+
+
+def test_ties_and_long_files(spark):
+    """Of equal scores the smaller identifier counts, whatever the order; a long file is read to its end."""
+    mit, bsd = "Released under the MIT License", "Licensed under the BSD 3-Clause License"
+    long = "plain words of no meaning here\n" * 60_000
+    rows = [(1, "a/x", f"{mit}\n{bsd}"), (2, "b/x", f"{bsd}\n{mit}"), (3, "c/x", long + mit), (4, "d/x", long), (5, "e/x", None), (6, None, mit), (6, None, mit), (None, "f/x", "")]
+    files = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("license", "digest", "lines", "directory", "found", "_part"):
+        files = files.withColumn(name, F.lit("clash"))
+    got = [(x["page_id"], x["own_license"], x["own_score"]) for x in license_scan.scan_licenses(files, "page_id", "url", "html").collect()]
+    by = {i: (name, score) for i, name, score in got}
+    assert len(got) == len(rows) and by[1] == by[2] == ("BSD-3-Clause", pytest.approx(1.0)) and by[3][0] == "MIT" and by[4][0] is by[5][0] is by[None][0] is None and by[6][0] == "MIT"
+    assert license_scan.scan_licenses(files.limit(0), "page_id", "url", "html").collect() == []

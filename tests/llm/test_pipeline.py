@@ -69,3 +69,28 @@ def test_empty_corpus(spark, corpus, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeats_ties_one_id_and_long_texts(spark, corpus, tmp_path):
+    """Repeated rows fall to one; an id's different texts both stay; of equal texts the least id stays; a long text is whole."""
+    folder, texts = corpus
+    r = random.Random(1)
+    own = " ".join(f"{r.choice(['thing', 'eron', 'anth'])}{r.choice(['ing', 'on'])} {r.choice(['eran', 'thon'])}" for _ in range(60))
+    long = " ".join("".join(r.choice(["th", "ing", "er", "on", "an"]) for _ in range(4)) for _ in range(30_000))
+    more = [(1, texts[1], "en", "s", 0), (4, own, "en", "s", 0), (800, texts[5], "en", "s", 0), (700, texts[5], None, None, None), (900, long, "en", "s", 0), (None, own, "en", "s", 0)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.unionByName(spark.createDataFrame(more, DOCS).withColumn("key", F.lit("clash"))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = {}
+    for x in pieces:
+        tokens.setdefault((x["doc_id"], x["doc_tokens"]), []).append((x["start"], x["length"]))
+    for (_, n), parts in tokens.items():
+        end = 0
+        for start, length in sorted(parts):
+            assert start == end
+            end += length
+        assert end == n
+    ids = [i for i, _ in tokens]
+    assert ids.count(1) == 1 and ids.count(4) == 2 and 5 in ids and 700 not in ids and 800 not in ids and ids.count(None) == 1
+    assert max(n for i, n in tokens if i == 900) > 30_000
