@@ -11,6 +11,7 @@ those with vertices.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -144,20 +145,28 @@ def pack_bin(graphs: list[tuple[list[int], list]]) -> bytes:
     return head + b"".join(np.array([len(p)], "<i8").tobytes() + p for p in parts)
 
 
-def unpack_bin(raw: bytes) -> Iterator[tuple[int, list[int], list[tuple[int, int, int]]]]:
-    """Number, vertex labels and edges of each graph; ValueError if offsets or the end don't fit."""
+def unpack_bin(raw: bytes, parts: int = 1, part: int = 0) -> Iterator[tuple[int, list[int], list[tuple[int, int, int]]]]:
+    """Number, vertex labels and edges of each graph, or of those of one contiguous part, the last one with the remainder.
+
+    Only the part's graphs are decoded: offsets say where they lie. ValueError if its offsets or
+    the end don't fit.
+    """
     n = int(np.frombuffer(raw[:8], "<i8")[0])
+    if len(raw) < 8 * (n + 1):
+        raise ValueError("buffer too small")
+    size = n // parts
+    first, last = part * size, n if part == parts - 1 else (part + 1) * size
     offsets = np.frombuffer(raw[8 : 8 * (n + 1)], "<i8")
-    end = 8 * (n + 1)
-    for i, at in enumerate(offsets.tolist()):
-        if at != end:
+    end = 8 * (n + 1) if not first else int(offsets[first]) if first < n else len(raw)
+    for i in range(first, last):
+        at = int(offsets[i])
+        if at != end or at + 8 > len(raw):
             raise ValueError(f"graph {i}: offset {at}, expected {end}")
-        size = int(np.frombuffer(raw[at : at + 8], "<i8")[0])
-        end = at + 8 + size
+        end = at + 8 + int(np.frombuffer(raw[at : at + 8], "<i8")[0])
         if end > len(raw):
             raise ValueError("buffer too small")
         yield (i, *graph_of_bytes(raw[at + 8 : end]))
-    if end != len(raw):
+    if last == n and end != len(raw):
         raise ValueError("content after the last graph")
 
 
@@ -167,17 +176,14 @@ def arrow_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_bin(spark: SparkSession, path: str, total_parts: int = 1, part: int | None = None) -> DataFrame:
-    """Graphs of a binary file, or of one of its contiguous parts."""
+    """Graphs of a binary file, or of one of its contiguous parts, of which alone the graphs are decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                found = list(unpack_bin(raw))
-                if part is not None:
-                    size = len(found) // total_parts
-                    found = found[part * size : (part + 1) * size if part < total_parts - 1 else None]
-                for start in range(0, len(found), 1000):
-                    yield arrow_rows(found[start : start + 1000])
+                found = unpack_bin(raw, total_parts, part or 0) if part is not None else unpack_bin(raw)
+                while rows := list(islice(found, 1000)):
+                    yield arrow_rows(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ROWS)
 
