@@ -41,12 +41,9 @@ def order_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     of an order comes together in one shuffle by gid; the rest happens within its row.
     """
     items = order_items(spark, sf_dir)
-    by_order = items.groupBy("gid").agg(
-        F.min("order_label").alias("order_label"),
-        F.array_sort(F.collect_set(F.struct("part", "part_label"))).alias("parts"),
-        F.array_sort(F.collect_set(F.struct("supplier", "supplier_label"))).alias("suppliers"),
-        F.array_sort(F.collect_set(F.struct("part", "supplier", "flag"))).alias("items"),
-    )
+    gathered = items.groupBy("gid").agg(F.min("order_label").alias("order_label"), F.collect_list(F.struct("part", "supplier", "flag", "part_label", "supplier_label")).alias("items"))
+    each = lambda *names: F.array_sort(F.array_distinct(F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in names]))))
+    by_order = gathered.select("gid", "order_label", "items", each("part", "part_label").alias("parts"), each("supplier", "supplier_label").alias("suppliers"))
     part = lambda i: F.array_position(F.col("parts.part"), i["part"]).cast("int")
     supplier = lambda i: (F.size("parts") + F.array_position(F.col("suppliers.supplier"), i["supplier"])).cast("int")
     edge = lambda a, b, label: F.struct(a.alias("src"), b.alias("dst"), label.cast("int").alias("elabel"))
