@@ -15,12 +15,13 @@ found by joining the directories' ancestors. Everything is DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm.scratch import kept
@@ -135,6 +136,13 @@ def block_phrases(templates: list[tuple[str, str, list[str]]], zones: int = 6) -
     return out
 
 
+def listed(spark: SparkSession, rows: list[tuple], **types: str) -> DataFrame:
+    """A table of a few thousand rows at most, made by the JVM from one literal, without Python workers."""
+    text = json.dumps([dict(zip(types, r)) for r in rows])
+    kind = ",".join(f"{name}:{t}" for name, t in types.items())
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("r")).select("r.*")
+
+
 def match_blocks(files: DataFrame, threshold: float) -> DataFrame:
     """digest, block struct(kind, score, license) of the texts with a piece at the threshold.
 
@@ -144,7 +152,7 @@ def match_blocks(files: DataFrame, threshold: float) -> DataFrame:
     """
     spark, templates = files.sparkSession, block_templates()
     phrases = block_phrases(templates)
-    placed = spark.createDataFrame([(p, t, at, len(templates[t][2]), templates[t][1]) for p, t, at in phrases], "phrase string, t int, place int, n int, kind string")
+    placed = listed(spark, [(p, t, at, len(templates[t][2]), templates[t][1]) for p, t, at in phrases], phrase="string", t="int", place="int", n="int", kind="string")
     names = sorted({p for p, _, _ in phrases})
 
     def cut(found: Column) -> Column:
@@ -163,7 +171,7 @@ def match_blocks(files: DataFrame, threshold: float) -> DataFrame:
 
     counted = [Counter(w) for _, _, w in templates]
     own = Counter(w for c in counted for w in c)
-    vocabulary = F.broadcast(spark.createDataFrame([(w,) for w in sorted(own)], "word string"))
+    vocabulary = F.broadcast(listed(spark, [(w,) for w in sorted(own)], word="string"))
     df = Counter(dict(pieces.select(F.explode(F.array_distinct("piece")).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").count().collect()))
     n = pieces.count() + len(templates)
     idf = {w: math.log((1 + n) / (1 + df[w] + own[w])) + 0.1 for w in own}
@@ -174,12 +182,12 @@ def match_blocks(files: DataFrame, threshold: float) -> DataFrame:
         size = math.sqrt(sum(v * v for v in vector.values()))
         weights += [(t, w, v / size) for w, v in sorted(vector.items())]
     spread = pieces.select(*key, F.explode("piece").alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k"))
-    spread = spread.join(F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double")), "word", "left")
-    spread = spread.join(F.broadcast(spark.createDataFrame(weights, "t int, word string, weight double")), ["t", "word"], "left")
+    spread = spread.join(F.broadcast(listed(spark, sorted(idf.items()), word="string", idf="double")), "word", "left")
+    spread = spread.join(F.broadcast(listed(spark, weights, t="int", word="string", weight="double")), ["t", "word"], "left")
     value = (1 + F.log("k")) * F.coalesce("idf", F.lit(other))
     scored = spread.groupBy(*key).agg((F.sum(value * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(value * value))).alias("score"))
     kinds = [(t, name, 0 if name == RESERVED else 1 if kind == SENTENCE else 2) for t, (name, kind, _) in enumerate(templates)]
-    scored = scored.join(F.broadcast(spark.createDataFrame(kinds, "t int, license string, kind int")), "t")
+    scored = scored.join(F.broadcast(listed(spark, kinds, t="int", license="string", kind="int")), "t")
     enough = scored.filter(F.col("score") >= threshold)
     return enough.groupBy("digest").agg(F.max(F.struct("kind", F.round("score", 9).alias("score"), "license")).alias("block"))
 
