@@ -47,7 +47,7 @@ LEAST_PLACES = 512  # bits of the smallest sketch
 CHUNK = 1024  # classes of one side of a block of comparisons
 PART = 256  # pairs verified with one copy of their first class's text
 HOT = 8  # classes of a task's chunk from which on a key is hot
-CHUNK_KEYS = 1_000_000  # keys of a chunk
+CHUNK_KEYS = 400_000  # keys of a chunk
 SALTS = 1024  # parts that a hot key's classes are dealt to
 PLAIN, LEADS = -1, -2
 LONG = 10_000  # classes of a key that are held at a time
