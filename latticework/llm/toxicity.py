@@ -75,7 +75,7 @@ def count_units(rows: DataFrame) -> DataFrame:
                     new = np.bincount(np.array(seen[k], np.int64), minlength=len(number))
                     new[: len(totals[k])] += totals[k]
                     totals[k] = new
-                if len(number) > 200_000:
+                if len(number) > 400_000:
                     yield drain()
         yield drain()
 
@@ -88,7 +88,7 @@ class Presence:
 
     def __init__(self, chosen: list[str]):
         self.place = {u: i for i, u in enumerate(chosen)}
-        self.memo = Memo(lambda words: [tuple({self.place[u] for u in units(w) if u in self.place}) for w in words], cap=100_000)
+        self.memo = Memo(lambda words: [tuple({self.place[u] for u in units(w) if u in self.place}) for w in words], cap=150_000)
 
     def of(self, text: str | None) -> list[int]:
         words = set(WORDS((text or "").lower()))
