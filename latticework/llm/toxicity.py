@@ -42,27 +42,24 @@ def units(word: str) -> list[str]:
     return [word + "$", *[word[:n] for n in STEMS if n < len(word)]]
 
 
-def count_units(rows: DataFrame) -> DataFrame:
-    """unit, pos, unl: confirmed examples (positive 1), and all documents, that have the unit; pre-added in each task."""
+def count_units(rows: DataFrame, likely: list[str] | None = None) -> DataFrame:
+    """unit, pos, unl: confirmed examples (positive 1), and all documents, that have the unit; pre-added in each task.
+
+    With ``likely``, only those units are counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}  # of each unit, in the order of first appearance
+        number = {u: i for i, u in enumerate(likely or [])}
         known: dict[str, tuple[int, ...]] = {}  # units of each word
-        totals = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        totals = [np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)]
 
         def units_of(word: str) -> tuple[int, ...]:
             found = known.get(word)
             if found is None:
-                found = known[word] = tuple(number.setdefault(u, len(number)) for u in units(word))
+                every = units(word)
+                found = known[word] = tuple(number.setdefault(u, len(number)) for u in every) if likely is None else tuple(number[u] for u in every if u in number)
             return found
 
-        def drain() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(totals[1]), pa.array(totals[0])], names=["unit", "pos", "unl"])
-            number.clear()
-            known.clear()
-            totals[:] = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return out
-
         for batch in batches:
             for part in chunks(batch):
                 seen: tuple[list[int], list[int]] = ([], [])
@@ -75,9 +72,9 @@ def count_units(rows: DataFrame) -> DataFrame:
                     new = np.bincount(np.array(seen[k], np.int64), minlength=len(number))
                     new[: len(totals[k])] += totals[k]
                     totals[k] = new
-                if len(number) > 400_000:
-                    yield drain()
-        yield drain()
+                if len(known) > 150_000:
+                    known.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(totals[1]), pa.array(totals[0])], names=["unit", "pos", "unl"])
 
     counted = map_rows(rows, [("positive", "positive", "int"), ("text", "text", "string")], run, "unit string, pos long, unl long")
     return counted.groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
@@ -161,7 +158,10 @@ def learn(
     p, u = F.col("pos") / n_pos, F.col("unl") / n_unl
     neg = F.greatest((u - share * p) / (1 - share), F.lit(0.5 / n_unl))
     z = (p - neg) / F.sqrt(neg / n_unl + p * (1 - p) / n_pos + F.lit(1.0) / n_pos**2)
-    best = count_units(marked).filter((F.col("pos") >= max(3, n_pos // 200)) & (p > 3 * neg)).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "unit").limit(n_units)
+    # Units of too few confirmed examples can't be chosen: theirs, a bounded number, are found first.
+    least = max(3, n_pos // 200)
+    likely = sorted(r["unit"] for r in count_units(open_docs.join(confirmed, "doc_id")).filter(F.col("pos") >= least).collect())
+    best = count_units(marked, likely).filter((F.col("pos") >= least) & (p > 3 * neg)).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "unit").limit(n_units)
     chosen = [r["unit"] for r in best.select("unit", "z").collect()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
