@@ -235,7 +235,8 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
         F.regexp_replace(path, "/*[^/]*$", "").alias("directory"),
         (name.rlike(LICENSE_FILE) | (name == "")).alias("licenses"),
         statements(text).alias("lines"),
-        F.when(text.rlike(BLOCK_TRIGGER), F.sha2(text, 256)).alias("digest"),
+        # A text without any block has a value of its own, so that such rows don't meet in one task.
+        F.when(text.rlike(BLOCK_TRIGGER), F.sha2(text, 256)).otherwise(F.hex(F.xxhash64(F.col(f"`{id_col}`"), path))).alias("digest"),
         spdx(text).alias("spdx"),
     )
     blocks = match_blocks(files.select(text.alias("text")).filter(text.rlike(BLOCK_TRIGGER)).select(F.sha2("text", 256).alias("digest"), "text"), threshold)
