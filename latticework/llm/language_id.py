@@ -172,7 +172,8 @@ def learn_floors(docs: DataFrame, profiles: dict[str, list[int]], top: int, devi
     """The lowest score of a text in a learned language, by ``magnitude`` of its distinct n-grams.
 
     Over all rows with a language whose nearest profile is theirs: the mean score less so many
-    deviations, for magnitudes with 30 such rows at least; ``least_score`` is the least for any.
+    deviations, for magnitudes with 30 such rows at least. It is never above six tenths of the
+    mean, as texts that are all alike deviate little, and never below ``least_score``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def learn_floors(docs: DataFrame, profiles: dict[str, list[int]], top: int, devi
     out = {}
     for r in counted.filter("n >= 30").collect():  # a row a magnitude
         mean = r["a"] / r["n"]
-        out[r["size"]] = max(least_score, mean - deviations * max(0.0, r["b"] / r["n"] - mean * mean) ** 0.5)
+        out[r["size"]] = max(least_score, min(0.6 * mean, mean - deviations * max(0.0, r["b"] / r["n"] - mean * mean) ** 0.5))
     return out
 
 
