@@ -20,13 +20,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticework.operators.embeddings import dense_ids
-from latticework.operators.graphs import to_rows
+from latticework.operators.graphs import EDGE, ROWS, to_rows
 
 FORMATS = ("txt", "fsg", "bin", "cudabin")
-ROWS = "gid long, vlabels array<int>, edges array<struct<src:int,dst:int,elabel:int>>"
 #: Bytes of content up to which a collection is written as one binary file.
 MOST_BYTES = 1 << 30
-EDGE = pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("elabel", pa.int32())])
 
 
 def file_format(token: str) -> str:
