@@ -10,11 +10,14 @@ those with vertices.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +27,11 @@ from latticework.operators.graphs import EDGE, ROWS, to_rows
 
 FORMATS = ("txt", "fsg", "bin", "cudabin")
 #: Bytes of content up to which a collection is written as one binary file.
-MOST_BYTES = 1 << 30
+MOST_BYTES = 1 << 40
+#: Bytes of graphs that a task packs, and the driver holds, at a time.
+PIECE_BYTES = 1 << 23
+#: Graphs of a binary file that are read together.
+SLICE = 1 << 15
 
 
 def file_format(token: str) -> str:
@@ -173,8 +180,101 @@ def arrow_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array(edges, pa.list_(EDGE))], names=["gid", "vlabels", "edges"])
 
 
+def local_file(spark: SparkSession, path: str) -> str | None:
+    """Name in the file system of a path that is one local file, else None."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    return whole.getPath() if whole.getScheme() == "file" and os.path.isfile(whole.getPath()) else None
+
+
+def sliced(spark: SparkSession, first: int, last: int, read: Callable[[int, int], pa.RecordBatch]) -> DataFrame:
+    """A table of graphs, of which ``read`` gives those from one number up to another."""
+    slices = max(1, -(-(last - first) // SLICE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                if first + i * SLICE < last:
+                    yield read(first + i * SLICE, min(last, first + (i + 1) * SLICE))
+
+    return spark.range(0, slices, 1, min(slices, 1000)).mapInArrow(run, ROWS)
+
+
+def graph_rows(first: int, n: int, nv: np.ndarray, labels: np.ndarray, ne: np.ndarray, edges: list[np.ndarray]) -> pa.RecordBatch:
+    """ROWS of n graphs numbered from ``first``."""
+    ends = [pa.array(np.append(0, np.cumsum(x)).astype(np.int32)) for x in (nv, ne)]
+    links = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c, np.int32)) for c in edges], fields=list(EDGE))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.ListArray.from_arrays(ends[0], pa.array(np.ascontiguousarray(labels, np.int32))), pa.ListArray.from_arrays(ends[1], links)], names=["gid", "vlabels", "edges"])
+
+
+def read_at(name: str, start: int, size: int, kind: str) -> np.ndarray:
+    with open(name, "rb") as f:
+        f.seek(start)
+        raw = f.read(size)
+    if len(raw) != size:
+        raise ValueError("buffer too small")
+    return np.frombuffer(raw, kind)
+
+
+def bin_slice(name: str, n: int, first: int, last: int) -> pa.RecordBatch:
+    """Graphs from number ``first`` up to ``last`` of a binary file of n; ValueError if offsets, lengths or the end don't fit."""
+    whole = os.path.getsize(name)
+    offsets = read_at(name, 8 * (1 + first), 8 * (min(last + 1, n) - first), "<i8")
+    if last == n:
+        offsets = np.append(offsets, whole)
+    sizes = np.diff(offsets)
+    if (not first and offsets[0] != 8 * (n + 1)) or offsets[-1] > whole or (sizes < 12).any() or (sizes % 4).any():
+        raise ValueError(f"graphs {first} to {last}: offsets don't fit")
+    a = read_at(name, int(offsets[0]), int(offsets[-1] - offsets[0]), "<i4")
+    starts, words = (offsets[:-1] - offsets[0]) // 4, sizes // 4
+    length = np.stack([a[starts], a[starts + 1]], axis=1).copy().view("<i8").ravel()
+    nv = a[starts + 2].astype(np.int64)
+    rest = words - 3 - nv
+    if (length != sizes - 8).any() or (nv < 0).any() or (rest < 0).any() or (rest % 3).any():
+        raise ValueError("buffer too small, or content after a graph")
+    labels = a[np.repeat(starts + 3, nv) + within(nv)]
+    at = np.repeat(starts + 3 + nv, rest // 3) + 3 * within(rest // 3)
+    return graph_rows(first, last - first, nv, labels, rest // 3, [a[at + i] for i in range(3)])
+
+
+def columns_slice(name: str, n: int, m: int, widest: int, first: int, last: int) -> pa.RecordBatch:
+    """Graphs from number ``first`` up to ``last`` of a column file of n graphs, m ends and so many places a graph."""
+    at = 4 * (4 + 2 * m)
+    labels = read_at(name, at + 4 * first * widest, 4 * (last - first) * widest, "<i4")
+    begin, stop, end = first * widest, last * widest, n * widest
+    offsets = read_at(name, at + 4 * (end + begin), 4 * (stop - begin), "<i4")
+    after = -1
+    while after < 0:  # the next offset that is set; the last one always is
+        some = read_at(name, at + 4 * (end + stop), 4 * min(1 << 16, end + 1 - stop), "<i4")
+        known = some[some >= 0]
+        after, stop = (int(known[0]) if len(known) else -1), stop + len(some)
+    used = np.flatnonzero(offsets >= 0)
+    starts = np.append(offsets[used], after)
+    counts = np.diff(starts)
+    low = int(starts[0])
+    ends, kinds = (read_at(name, 4 * (4 + low + skip), 4 * (after - low), "<i4") for skip in (0, m))
+    own = np.repeat(used, counts)
+    graph, src = own // max(widest, 1), own % max(widest, 1)
+    dst = ends - (first + graph) * widest
+    forward = src < dst
+    nv, ne = np.bincount(used // max(widest, 1), minlength=last - first), np.bincount(graph[forward], minlength=last - first)
+    return graph_rows(first, last - first, nv, labels[used], ne, [c[forward] for c in (src, dst, kinds)])
+
+
 def read_bin(spark: SparkSession, path: str, total_parts: int = 1, part: int | None = None) -> DataFrame:
-    """Graphs of a binary file, or of one of its contiguous parts, of which alone the graphs are decoded."""
+    """Graphs of a binary file, or of one of its contiguous parts, of which alone the graphs are decoded.
+
+    A single file in a local or mounted folder, which executors must share, is read in slices side
+    by side; from other stores a file is read whole by one task.
+    """
+
+    local = local_file(spark, path)
+    if local:
+        with open(local, "rb") as f:
+            n = int(np.frombuffer(f.read(8), "<i8")[0])
+        size = n // total_parts
+        first, last = (0, n) if part is None else (part * size, n if part == total_parts - 1 else (part + 1) * size)
+        return sliced(spark, first, last, lambda a, b: bin_slice(local, n, a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +334,14 @@ def unpack_columns(raw: bytes) -> Iterator[tuple[int, list[int], list[tuple[int,
 
 
 def read_columns(spark: SparkSession, path: str) -> DataFrame:
-    """Graphs of a column binary file."""
+    """Graphs of a column binary file; read in slices or whole like ``read_bin``."""
+    local = local_file(spark, path)
+    if local:
+        with open(local, "rb") as f:
+            n, m, widest, _ = np.frombuffer(f.read(16), "<i4").tolist()
+        if os.path.getsize(local) != 4 * (4 + 2 * m + 2 * n * widest + 1):
+            raise ValueError("buffer too small")
+        return sliced(spark, 0, n, lambda a, b: columns_slice(local, n, m, widest, a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +352,10 @@ def read_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_graphs(graphs: DataFrame, fmt: str, path: str) -> None:
-    """Writes a table of graphs: text by the executors; the single-file binary forms by the driver.
+    """Writes a table of graphs: text by the executors; the single-file binary forms through the driver.
 
-    Those are an exchange format of small collections: ValueError above MOST_BYTES.
+    Executors sort and pack those, some MB of graphs at a time, and the driver passes one piece
+    after the other on to the file. ValueError above MOST_BYTES, or for an empty collection as bin.
     """
     name = file_format(fmt)
     if name == "txt":
@@ -255,16 +363,132 @@ def write_graphs(graphs: DataFrame, fmt: str, path: str) -> None:
         return
     if name == "fsg":
         raise ValueError("the string form can't be written")
-    bytes_of = F.sum(F.lit(20).cast("long") + 4 * F.size("vlabels") + 12 * F.size("edges"))
-    if (graphs.agg(bytes_of).first()[0] or 0) > MOST_BYTES:
-        raise ValueError(f"more than {MOST_BYTES} bytes; write text or Parquet")
-    rows = [(r["vlabels"], [tuple(e) for e in r["edges"]]) for r in graphs.orderBy("gid").toLocalIterator()]
-    raw = pack_bin(rows) if name == "bin" else pack_columns(rows)
-    jvm, conf = graphs.sparkSession._jvm, graphs.sparkSession._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    with_stream = target.getFileSystem(conf).create(target, True)
-    with_stream.write(bytearray(raw))
-    with_stream.close()
+    held = graphs.persist(StorageLevel.DISK_ONLY)
+    try:
+        bytes_of = F.sum(F.lit(20).cast("long") + 4 * F.size("vlabels") + 12 * F.size("edges"))
+        total, n, widest, vertices, ends = held.agg(bytes_of, F.count(F.lit(1)), F.max(F.size("vlabels")), F.sum(F.size("vlabels")), 2 * F.sum(F.size("edges"))).first()
+        if (total or 0) > MOST_BYTES:
+            raise ValueError(f"more than {MOST_BYTES} bytes; write text or Parquet")
+        if name == "bin" and not n:
+            raise ValueError("an empty collection can't be written")
+        if name == "cudabin" and max(n * (widest or 0), ends or 0) >= 1 << 31:
+            raise ValueError("places don't fit 32-bit integers; write bin, text or Parquet")
+        pieces = held.repartitionByRange(-(-(total or 1) // PIECE_BYTES), "gid").sortWithinPartitions("gid")
+        if name == "bin":
+            packed = pieces.mapInArrow(packed_bin, "first long, n long, sizes binary, content binary").persist(StorageLevel.DISK_ONLY)
+        else:
+            packed = pieces.mapInArrow(lambda batches: packed_columns(batches, widest), "first long, n long, ends binary, labels binary, vlabels binary, offsets binary").persist(StorageLevel.DISK_ONLY)
+        try:
+            with created(graphs.sparkSession, path) as write:
+                if name == "bin":
+                    at = 8 * (1 + n)
+                    write(np.array([n], "<i8").tobytes())
+                    for _, raw in in_order(packed, "sizes"):
+                        sizes = np.frombuffer(raw, "<i8")
+                        write((at + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
+                        at += int(sizes.sum())
+                    for _, raw in in_order(packed, "content"):
+                        write(raw)
+                else:
+                    write(np.array([n, ends or 0, widest or 0, vertices or 0], "<i4").tobytes())
+                    at = 0
+                    for k, raw in in_order(packed, "ends"):
+                        write((np.frombuffer(raw, "<i4") + at * (widest or 0)).astype("<i4").tobytes())
+                        at += k
+                    for _, raw in in_order(packed, "labels"):
+                        write(raw)
+                    for _, raw in in_order(packed, "vlabels"):
+                        write(raw)
+                    at = 0
+                    for _, raw in in_order(packed, "offsets"):
+                        own = np.frombuffer(raw, "<i4")  # the last one is the piece's number of ends
+                        write(np.where(own[:-1] >= 0, own[:-1] + at, -1).astype("<i4").tobytes())
+                        at += int(own[-1])
+                    write(np.array([at], "<i4").tobytes())
+        finally:
+            packed.unpersist()
+    finally:
+        held.unpersist()
+
+
+def in_order(packed: DataFrame, column: str) -> Iterator[tuple[int, bytes]]:
+    """Number of graphs and bytes of each piece, in the order of gid; a partition is held at a time."""
+    before = None
+    for first, n, raw in packed.select("first", "n", column).toLocalIterator(prefetchPartitions=True):
+        if before is not None and first < before:
+            raise RuntimeError("pieces out of order")
+        before = first
+        yield n, bytes(raw)
+
+
+@contextmanager
+def created(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A function that appends bytes to a new file on any of Hadoop's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+
+    def write(raw: bytes) -> None:
+        for i in range(0, len(raw), 1 << 22):
+            stream.write(bytearray(raw[i : i + (1 << 22)]))
+
+    try:
+        yield write
+    finally:
+        stream.close()
+
+
+def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Numbers of vertices and of edges of each graph, all vertex labels, and src, dst, label of all edges."""
+    v, e = batch.column("vlabels"), batch.column("edges")
+    labels, edges = v.flatten(), e.flatten()
+    columns = [labels, *(edges.field(i) for i in range(3))]
+    if any(c.null_count for c in columns):
+        raise ValueError("a null label or end can't be written")
+    sizes = [np.asarray(x.value_lengths().fill_null(0), np.int64) for x in (v, e)]
+    found = [c.to_numpy(zero_copy_only=False).astype("<i4") for c in columns]
+    return *sizes, found[0], found[1:]
+
+
+def within(sizes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in each of the runs of such sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def packed_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """first (gid), n, sizes (of the graphs with their lengths, 64-bit) and content of pieces of the binary form."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nv, ne, labels, edges = flat(batch)
+        words = 3 + nv + 3 * ne
+        starts = np.cumsum(words) - words
+        out = np.empty(words.sum(), "<i4")
+        long = (4 * (words - 2)).astype("<i8").view("<i4").reshape(-1, 2)
+        out[starts], out[starts + 1], out[starts + 2] = long[:, 0], long[:, 1], nv
+        out[np.repeat(starts + 3, nv) + within(nv)] = labels
+        at = np.repeat(starts + 3 + nv, ne) + 3 * within(ne)
+        for i, c in enumerate(edges):
+            out[at + i] = c
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("gid")[0].as_py()], pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([(4 * words).astype("<i8").tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["first", "n", "sizes", "content"])
+
+
+def packed_columns(batches: Iterator[pa.RecordBatch], widest: int) -> Iterator[pa.RecordBatch]:
+    """first (gid), n and the four arrays of pieces of the column form, places and offsets counted from the piece's start."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nv, ne, labels, (src, dst, label) = flat(batch)
+        n = batch.num_rows
+        start = widest * np.repeat(np.arange(n), ne)
+        a, b, x = np.concatenate([start + src, start + dst]), np.concatenate([start + dst, start + src]), np.concatenate([label, label])
+        order = np.lexsort((x, b, a))
+        places = widest * np.repeat(np.arange(n), nv) + within(nv)
+        vlabels, offsets = np.full(n * widest, -1, "<i4"), np.full(n * widest + 1, -1, "<i4")
+        vlabels[places] = labels
+        offsets[places] = np.searchsorted(a[order], places)
+        offsets[-1] = len(a)
+        arrays = [b[order].astype("<i4"), x[order].astype("<i4"), vlabels, offsets]
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("gid")[0].as_py()], pa.int64()), pa.array([n], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in arrays)], names=["first", "n", "ends", "labels", "vlabels", "offsets"])
 
 
 def concatenate(collections: list[DataFrame]) -> DataFrame:

@@ -86,3 +86,18 @@ def test_large_collections_are_not_written_as_one_file(spark, table, tmp_path):
 
 def test_concatenation(table):
     assert [r[0] for r in rows(G.concatenate([table, table]))] == list(range(8))
+
+
+@pytest.mark.parametrize("fmt", ["bin", "cudabin"])
+def test_binary_files_are_written_and_read_in_pieces(spark, table, tmp_path, monkeypatch, fmt):
+    """The driver holds a piece at a time, and the file is what one packing of all graphs gives."""
+    monkeypatch.setattr(G, "PIECE_BYTES", 1)
+    monkeypatch.setattr(G, "SLICE", 1)
+    moved = table.unionByName(table.selectExpr("gid + 4 as gid", "vlabels", "edges")).withColumn("gid", 1000 - 7 * F.col("gid"))
+    path = str(tmp_path / "graphs")
+    G.write_graphs(moved, fmt, path)
+    whole = [(v, e) for v, e in (COLLECTION * 2)[::-1]]
+    with open(path, "rb") as f:
+        assert f.read() == (G.pack_bin(whole) if fmt == "bin" else G.pack_columns(whole))
+    assert G.read_graphs(spark, fmt, path).rdd.getNumPartitions() == 8
+    assert rows(G.read_graphs(spark, fmt, path)) == [(i, v, e) for i, (v, e) in enumerate(whole)]
