@@ -15,8 +15,8 @@ size; in a round each task runs Adam over its own texts, and the weights are ave
 number of tokens, block by block on the executors. Steps grow with the tokens, and what reaches
 the driver is one set of weights and one count for each place of the vocabulary.
 
-The memory grows with the corpus too. Wherever the hash of the two tokens on either side is a
-multiple of eight, the whole corpus is asked what stood between these neighbours elsewhere: the
+The memory grows with the corpus too. At every token with two on either side, the whole corpus is
+asked what stood between these neighbours elsewhere, in eight rounds by the context's hash: the
 counts, less the occurrence itself, correct the network's probability, which enters as so many
 occurrences as the context has different tokens. So a text whose passages recur elsewhere scores
 above one of its own.
@@ -47,7 +47,7 @@ PLACES_ALL = 1 << 16  # places of the vocabulary
 GRID = 32
 CLASSES = GRID * GRID
 BEYOND = CLASSES  # class of what lies beyond a text
-EVERY = 8  # the memory is asked at one in so many contexts
+EVERY = 8  # rounds in which the memory is asked, each at the contexts of one remainder
 HOT = 64  # places of a chunk from which on a context is hot
 MEMBER, COUNT, ASIDE = 0, 1, 2
 BLOCK = 1 << 14  # weights that are averaged together
@@ -297,8 +297,8 @@ def scorer(model: bytes) -> tuple[Network, Classes]:
     return Network(flat), classes
 
 
-def score_windows(rows: DataFrame, classes: Classes, network: Network) -> DataFrame:
-    """row, doc_id, n_tokens, network (summed log-probability) and, where the memory is asked, keys, tokens, logs."""
+def score_texts(rows: DataFrame, classes: Classes, network: Network) -> DataFrame:
+    """row, doc_id, n_tokens, network (summed log-probability), ids and the log-probability of each token (32-bit floats)."""
     model = pickle.dumps((network.flat, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,25 +307,39 @@ def score_windows(rows: DataFrame, classes: Classes, network: Network) -> DataFr
             done = 0
             for texts in token_lists(iter([batch]), 2, 100_000):
                 contexts, targets, places = windows(texts, kinds)
-                logs = own.log_prob(contexts, targets) + kinds.share[places]
-                ends = np.cumsum([len(t) for t in texts])
-                keys, asked, at_logs, sums = [], [], [], []
-                for t, end in zip(texts, ends.tolist()):
-                    each = logs[end - len(t) : end]
-                    sums.append(float(each.sum(dtype=np.float64)))
-                    key = context_keys(t) if len(t) > 2 * NEAR else np.zeros(0, np.uint64)
-                    where = np.flatnonzero(key % np.uint64(EVERY) == 0)
-                    keys.append(key[where].view(np.int64))
-                    asked.append(t[where + NEAR].view(np.int32))
-                    at_logs.append(each[where + NEAR])
+                logs = (own.log_prob(contexts, targets) + kinds.share[places]).astype("<f4")
+                each = np.split(logs, np.cumsum([len(t) for t in texts])[:-1])
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(asked, pa.list_(pa.int32())), pa.array(at_logs, pa.list_(pa.float32()))],
-                    names=["row", "doc_id", "n_tokens", "network", "keys", "tokens", "logs"],
+                    [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([float(x.sum(dtype=np.float64)) for x in each], pa.float64()), part.column(2), pa.array([x.tobytes() for x in each], pa.binary())],
+                    names=["row", "doc_id", "n_tokens", "network", "ids", "each"],
                 )
 
-    return rows.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, keys array<long>, tokens array<int>, logs array<float>")
+    return rows.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, ids binary, each binary")
+
+
+def asked_at(scored: DataFrame, remainder: int) -> DataFrame:
+    """row, doc_id, n_tokens, network and keys, tokens, logs of the places whose context's hash has that remainder by EVERY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, asked, logs = [], [], []
+            for ids, each in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                t, log = np.frombuffer(ids, np.uint32), np.frombuffer(each, "<f4")
+                key = context_keys(t) if len(t) > 2 * NEAR else np.zeros(0, np.uint64)
+                where = np.flatnonzero(key % np.uint64(EVERY) == remainder)
+                keys.append(key[where].view(np.int64))
+                asked.append(t[where + NEAR].view(np.int32))
+                logs.append(log[where + NEAR])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64())), pa.array(asked, pa.list_(pa.int32())), pa.array(logs, pa.list_(pa.float32()))], names=["row", "doc_id", "n_tokens", "network", "keys", "tokens", "logs"])
+
+    return scored.select("row", "doc_id", "n_tokens", "network", "ids", "each").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, keys array<long>, tokens array<int>, logs array<float>")
+
+
+def score_windows(rows: DataFrame, classes: Classes, network: Network, remainder: int = 0) -> DataFrame:
+    """row, doc_id, n_tokens, network (summed log-probability) and, for one round of the memory, keys, tokens, logs."""
+    return asked_at(score_texts(rows, classes, network), remainder)
 
 
 def spread(scored: DataFrame) -> DataFrame:
@@ -422,9 +436,24 @@ def count_contexts(rows: DataFrame) -> DataFrame:
 def remembered(scored: DataFrame, scratch: Scratch) -> DataFrame:
     """row, gain: what the rest of the corpus adds to a text's log-probability, where it has the same contexts.
 
-    A context that occurs once in the corpus adds nothing.
+    A context that occurs once in the corpus adds nothing. scored: a round's keys, tokens, logs.
     """
-    found = scratch.keep(count_contexts(spread(scored)))
+    return gains_of(scratch.keep(count_contexts(spread(scored))))
+
+
+def remembered_everywhere(scored: DataFrame, scratch: Scratch) -> DataFrame:
+    """``remembered`` over all rounds; scored is kept and has each token. A round's tables go before the next."""
+    out = None
+    for remainder in range(EVERY):
+        found = scratch.keep(count_contexts(spread(asked_at(scored, remainder))))
+        gain = scratch.keep(gains_of(found))
+        scratch.drop(found)
+        out = gain if out is None else out.unionByName(gain)
+    return out.groupBy("row").agg(F.sum("gain").alias("gain"))
+
+
+def gains_of(found: DataFrame) -> DataFrame:
+    """row, gain from what ``count_contexts`` gives."""
     wide = found.filter(F.col("kind") == ASIDE).select("key", "token", "row", F.col("value").alias("log")).join(found.filter(F.col("kind") == COUNT).select("key", "token", "n", "total", "kinds"), ["key", "token"])
     corrected = F.log((F.col("n") - 1 + F.col("kinds") * F.exp("log")) / (F.col("total") - 1 + F.col("kinds"))) - F.col("log")
     gains = found.filter(F.col("kind") == MEMBER).select("row", "value").unionByName(wide.select("row", corrected.alias("value")))
@@ -443,8 +472,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "scoring")
     rows = scratch.keep(tokenize(docs, id_col, text_col), compression="zstd")
     classes = Classes(dict(count_tokens(rows).collect()))
-    scored = scratch.keep(score_windows(rows, classes, train(rows, classes)), compression="zstd")
+    scored = scratch.keep(score_texts(rows, classes, train(rows, classes)), compression="zstd")
     scratch.drop(rows)
-    out = scored.select("row", "doc_id", "n_tokens", "network").join(remembered(scored, scratch), "row", "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    out = scored.select("row", "doc_id", "n_tokens", "network").join(remembered_everywhere(scored, scratch), "row", "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     total, n = F.col("network") + F.col("gain"), F.nullif("n_tokens", F.lit(0))
     return out.select("doc_id", "n_tokens", total.alias("log_prob"), (total / n).alias("mean_log_prob"), F.col("network").alias("network_log_prob"), "gain", (F.col("gain") / n).alias("mean_gain"))

@@ -577,6 +577,13 @@ def test_lm_scoring(spark):
     assert lm_scoring.score_corpus(docs.limit(0)).collect() == []
 
 
+def test_lm_memory_is_asked_at_every_context(spark):
+    """A passage that recurs gains at all its tokens with two on either side, whatever their context's hash."""
+    docs = table(spark, ["one two three four five", "one two three four five", "six seven eight nine ten", "six seven eight nine ten", *(f"a{i} b{i} c{i} d{i} e{i}" for pair in range(8) for i in (pair, pair))])
+    gains = [r["gain"] for r in lm_scoring.score_corpus(docs).filter("n_tokens = 5").collect()]
+    assert len(gains) >= 20 and all(x != 0 for x in gains)
+
+
 def test_lm_gradient_and_training(spark):
     r = np.random.default_rng(3)
     network = lm_scoring.Network(hidden=8)
