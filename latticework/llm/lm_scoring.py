@@ -28,11 +28,12 @@ import functools
 import pickle
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm.arrow import chunks, map_rows
@@ -49,7 +50,12 @@ CLASSES = GRID * GRID
 BEYOND = CLASSES  # class of what lies beyond a text
 EVERY = 8  # rounds in which the memory is asked, each at the contexts of one remainder
 HOT = 64  # places of a chunk from which on a context is hot
-MEMBER, COUNT, ASIDE = 0, 1, 2
+CHUNK = 1 << 19  # places of a task that ask together
+BUCKET = 400_000  # places, about, whose contexts are counted together
+BATCH = 1024  # rows that reach Python together while the memory is asked
+MEMBER, COUNT, HELD = 0, 1, 2
+PACKED = "kind int, at long, chunk long, first long, a binary, b binary, c binary, d binary"
+ANSWERS = "kind int, chunk long, first long, a binary, b binary, c binary, d binary"
 BLOCK = 1 << 14  # weights that are averaged together
 #: First slice of sixteen of each round of training; a text is in the round of its slice.
 ROUNDS = (0, 1, 5)
@@ -319,20 +325,41 @@ def score_texts(rows: DataFrame, classes: Classes, network: Network) -> DataFram
     return rows.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, ids binary, each binary")
 
 
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of binaries one after the other, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def asked_in(ids: pa.Array, each: pa.Array, remainder: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text's number, key, token and log of the places whose context's hash has that remainder by EVERY.
+
+    Contexts are hashed along all texts, a block at a time; those that reach over an end are left out.
+    """
+    tokens, lengths = flat(ids, "<u4")
+    logs, _ = flat(each, "<f4")
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for start in range(0, len(tokens) - 2 * NEAR, block):
+        key = context_keys(tokens[start : start + block + 2 * NEAR])
+        where = np.flatnonzero(key % np.uint64(EVERY) == remainder)
+        found.append((key[where], where + (start + NEAR)))
+    key, at = (np.concatenate(x) for x in zip(*found))
+    text = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)[at]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    inner = (at - (ends - lengths)[text] >= NEAR) & (ends[text] - at > NEAR)
+    return text[inner], key[inner], tokens[at[inner]], logs[at[inner]]
+
+
 def asked_at(scored: DataFrame, remainder: int) -> DataFrame:
     """row, doc_id, n_tokens, network and keys, tokens, logs of the places whose context's hash has that remainder by EVERY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, asked, logs = [], [], []
-            for ids, each in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                t, log = np.frombuffer(ids, np.uint32), np.frombuffer(each, "<f4")
-                key = context_keys(t) if len(t) > 2 * NEAR else np.zeros(0, np.uint64)
-                where = np.flatnonzero(key % np.uint64(EVERY) == remainder)
-                keys.append(key[where].view(np.int64))
-                asked.append(t[where + NEAR].view(np.int32))
-                logs.append(log[where + NEAR])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64())), pa.array(asked, pa.list_(pa.int32())), pa.array(logs, pa.list_(pa.float32()))], names=["row", "doc_id", "n_tokens", "network", "keys", "tokens", "logs"])
+            text, key, token, log = asked_in(batch.column(4), batch.column(5), remainder)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=batch.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key.view(np.int64), token.view(np.int32), log)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["row", "doc_id", "n_tokens", "network", "keys", "tokens", "logs"])
 
     return scored.select("row", "doc_id", "n_tokens", "network", "ids", "each").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, keys array<long>, tokens array<int>, logs array<float>")
 
@@ -342,95 +369,194 @@ def score_windows(rows: DataFrame, classes: Classes, network: Network, remainder
     return asked_at(score_texts(rows, classes, network), remainder)
 
 
-def spread(scored: DataFrame) -> DataFrame:
-    """kind, key, token, row, log, n: a MEMBER row for each place where the memory is asked.
+def packed(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    """Rows of PACKED, or of another such schema; arrays become their bytes."""
+    names = [x.split()[0] for x in kinds.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [[x.tobytes() if isinstance(x, np.ndarray) else x for x in column] for column in zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k.split()[1]]) for c, k in zip(columns, kinds.split(", "), strict=True)], names=names)
 
-    A context that HOT places of a chunk have is hot there: its tokens are counted in the chunk,
-    a COUNT row each, and its places are ASIDE rows, which needn't meet in one task.
+
+def spread(scored: DataFrame, buckets: int, remainder: int | None = None) -> DataFrame:
+    """PACKED rows: the places where the memory is asked, cut into chunks, a chunk's places by range of their keys.
+
+    scored has keys, tokens, logs, or, with a remainder, ids and each. MEMBER: keys, tokens, logs
+    and numbers of texts of a chunk's places in a bucket. A context that HOT places of a chunk have
+    is hot there: COUNT has key, token and number of the chunk's entries from ``first`` on, and its
+    places, which needn't meet in one task, stay with the chunk, by entry. HELD: the chunk's rows,
+    and entries, logs and numbers of texts of those places.
     """
 
+    def chunk_rows(chunk: int, rows: np.ndarray, text: np.ndarray, key: np.ndarray, token: np.ndarray, log: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        key, token, log, text = key[order], token[order], log[order], text[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        hot = np.diff(np.append(starts, len(key))) >= HOT
+        hot = np.repeat(hot, np.diff(np.append(starts, len(key))))
+        entries, logs, texts = (np.zeros(0, x) for x in ("<u4", "<f4", "<u4"))
+        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        if hot.any():
+            k, t, logs, texts = key[hot], token[hot], log[hot], text[hot]
+            order = np.lexsort((t, k))
+            k, t, logs, texts = k[order], t[order], logs[order], texts[order]
+            new = np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]))
+            first = np.flatnonzero(new)
+            entries, n = (np.cumsum(new) - 1).astype("<u4"), np.diff(np.append(first, len(k)))
+            k, t = k[first], t[first]
+            bounds = [0, *np.searchsorted(k, edges).tolist(), len(k)]
+            for bucket, (s, e) in enumerate(zip(bounds, bounds[1:])):
+                if s < e:
+                    yield packed([(COUNT, bucket, chunk, s, k[s:e], t[s:e], n[s:e].astype("<i8"), None)], PACKED)
+            key, token, log, text = key[~hot], token[~hot], log[~hot], text[~hot]
+        bounds = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+        for bucket, (s, e) in enumerate(zip(bounds, bounds[1:])):
+            if s < e:
+                yield packed([(MEMBER, bucket, chunk, 0, key[s:e], token[s:e], log[s:e], text[s:e])], PACKED)
+        yield packed([(HELD, chunk % buckets, chunk, 0, rows, entries, logs, texts)], PACKED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(kind: int, key: np.ndarray, token: np.ndarray, row: np.ndarray, log: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(token), pa.array(row), pa.array(log), pa.array(n)], names=["kind", "key", "token", "row", "log", "n"])
+        context = TaskContext.get()
+        chunk = (context.partitionId() if context else 0) << 32
+        held: list[tuple] = []
+        n_texts = n_places = 0
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            if remainder is None:
+                text = np.repeat(np.arange(len(rows), dtype=np.uint32), np.array(batch.column(1).value_lengths().to_pylist(), np.int64))
+                key, token, log = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                key, token = key.view(np.uint64), token.view(np.uint32)
+            else:
+                text, key, token, log = asked_in(batch.column(1), batch.column(2), remainder)
+            held.append((rows, text + np.uint32(n_texts), key, token, log))
+            n_texts, n_places = n_texts + len(rows), n_places + len(key)
+            if n_places >= CHUNK:
+                yield from chunk_rows(chunk, *(np.concatenate(x) for x in zip(*held)))
+                held, n_texts, n_places, chunk = [], 0, 0, chunk + 1
+        if n_places:
+            yield from chunk_rows(chunk, *(np.concatenate(x) for x in zip(*held)))
+
+    columns = ["row", "keys", "tokens", "logs"] if remainder is None else ["row", "ids", "each"]
+    return scored.select(*columns).mapInArrow(run, PACKED)
+
+
+def count_contexts(rows: DataFrame, buckets: int) -> DataFrame:
+    """ANSWERS: what the rows of ``spread`` come to, for their chunks.
+
+    MEMBER: numbers of texts and gains of the places whose context occurs elsewhere. COUNT: for the
+    chunk's entries from ``first`` on, a token's and its context's occurrences in the corpus, and
+    the context's kinds of tokens. HELD rows pass through. A bucket is held at a time, in which a
+    hot context has one entry for each chunk and token.
+    """
 
+    def finished(blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x[3]) // 8 for x in blobs]
+        joined = lambda i, kind: np.concatenate([np.frombuffer(x[i], kind) for x in blobs])
+        key, token = joined(3, "<u8"), joined(4, "<u4")
+        n = np.concatenate([np.frombuffer(x[5], "<i8") if x[0] == COUNT else np.ones(k, np.int64) for x, k in zip(blobs, sizes)])
+        log = np.concatenate([np.zeros(k, "<f4") if x[0] == COUNT else np.frombuffer(x[5], "<f4") for x, k in zip(blobs, sizes)])
+        counted = np.repeat([x[0] == COUNT for x in blobs], sizes)
+        order = np.argsort(key)
+        ordered = key[order]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        total = np.add.reduceat(n[order], starts)
+        lengths = np.diff(np.append(starts, len(key)))
+        several = total > 1
+        order = order[np.repeat(several, lengths)]  # the places of contexts that occur elsewhere
+        total, lengths = total[several], lengths[several]
+        group = np.repeat(np.arange(len(total), dtype=np.uint64), lengths) << np.uint64(32) | token[order]
+        by = np.argsort(group)
+        group, order = group[by], order[by]
+        new = np.append(True, group[1:] != group[:-1])[: len(group)]
+        first = np.flatnonzero(new)
+        context = (group >> np.uint64(32)).astype(np.int64)
+        kinds = np.bincount(context[first], minlength=len(total))[context]
+        each = np.add.reduceat(n[order], first)[np.cumsum(new) - 1] if len(first) else np.zeros(0, np.int64)
+        total = total[context]
+        # Back in the order of the blobs.
+        place = np.full(len(key), -1)
+        place[order] = np.arange(len(order))
+        logs = log[order].astype(np.float64)
+        gain = gains(each, total, kinds, logs).astype("<f4")
+        ends = np.cumsum(sizes)
+        for (kind, chunk, first_entry, _, _, _, text), s, e in zip(blobs, ends - sizes, ends):
+            at = place[s:e]
+            if kind == COUNT:
+                yield packed([(COUNT, chunk, first_entry, each[at], total[at], kinds[at].astype("<i8"), None)], ANSWERS)
+            elif len(own := np.flatnonzero(at >= 0)):
+                yield packed([(MEMBER, chunk, 0, np.frombuffer(text, "<u4")[own], gain[at[own]], None, None)], ANSWERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
         for batch in batches:
-            for part in chunks(batch, 4096):
-                lengths = np.array(part.column(1).value_lengths().to_pylist(), np.int64)
-                key, token, log = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                if not len(key):
+            for kind, at, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == HELD:
+                    yield packed([(kind, *rest)], ANSWERS)
                     continue
-                row = np.repeat(part.column(0).to_numpy(zero_copy_only=False), lengths)
-                order = np.lexsort((token, key))
-                key, token, log, row = key[order], token[order], log[order], row[order]
-                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                count = np.diff(np.append(starts, len(key)))
-                hot = np.repeat(count >= HOT, count)
-                one = lambda x: np.ones(len(x), np.int64)
-                for kind, own in ((MEMBER, ~hot), (ASIDE, hot)):
-                    if own.any():
-                        yield batch_of(kind, key[own], token[own], row[own], log[own], one(key[own]))
-                if hot.any():
-                    k, t = key[hot], token[hot]
-                    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
-                    n = np.diff(np.append(first, len(k))).astype(np.int64)
-                    yield batch_of(COUNT, k[first], t[first], np.full(len(first), -1), np.zeros(len(first), np.float32), n)
-
-    return scored.select("row", "keys", "tokens", "logs").mapInArrow(run, "kind int, key long, token int, row long, log float, n long")
-
-
-def count_contexts(rows: DataFrame) -> DataFrame:
-    """kind, key, token, row, value, n, total, kinds: what the rows of ``spread`` come to.
-
-    MEMBER: the gain at a place whose context occurs elsewhere. COUNT: a token's and a hot context's
-    occurrences in the corpus, and its kinds of tokens. ASIDE rows pass through with their log.
-    Rows come sorted by context; a context's rows are held at a time, of which a hot one has a
-    row for each chunk and token.
-    """
+                if held and at != bucket:
+                    yield from finished(held)
+                    held = []
+                bucket = at
+                held.append((kind, *rest))
+        if held:
+            yield from finished(held)
+
+    return rows.repartition(buckets, "at").sortWithinPartitions("at").mapInArrow(run, ANSWERS)
+
+
+def gains(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """What the corpus adds to a place's log-probability: its token's and context's occurrences but this one, and the network's as so many as the context has kinds."""
+    return np.log((n - 1 + kinds * np.exp(log)) / (total - 1 + kinds)) - log
+
+
+def gains_of(found: DataFrame, buckets: int) -> DataFrame:
+    """row, gain from what ``count_contexts`` gives; a chunk is held at a time."""
+
+    def finished(blobs: list[tuple]) -> pa.RecordBatch:
+        rows, entries, logs, texts = next((np.frombuffer(x, kind) for x, kind in zip(b[3:], ("<i8", "<u4", "<f4", "<u4"))) for b in blobs if b[0] == HELD)
+        gain = np.zeros(len(rows))
+        n_entries = int(entries[-1]) + 1 if len(entries) else 0
+        n, total, kinds = (np.zeros(n_entries, np.int64) for _ in range(3))
+        for kind, _, first, *a in blobs:
+            if kind == MEMBER:
+                gain += np.bincount(np.frombuffer(a[0], "<u4"), np.frombuffer(a[1], "<f4"), len(rows))
+            elif kind == COUNT:
+                for out, x in zip((n, total, kinds), a):
+                    out[first : first + len(x) // 8] = np.frombuffer(x, "<i8")
+        if n_entries:
+            gain += np.bincount(texts, gains(n[entries], total[entries], kinds[entries], logs.astype(np.float64)), len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], names=["row", "gain"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(kind: int, key: np.ndarray, token: np.ndarray, row: np.ndarray, value: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-            zero = np.zeros(len(key), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *map(pa.array, (key, token, row, value.astype(np.float64), *(more or (zero, zero, zero))))], names=["kind", "key", "token", "row", "value", "n", "total", "kinds"])
-
-        def finished(kind: np.ndarray, key: np.ndarray, token: np.ndarray, row: np.ndarray, log: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            by_key = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            by_token = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (token[1:] != token[:-1])))
-            total = np.add.reduceat(n, by_key)
-            each = np.add.reduceat(n, by_token)
-            at_key = np.searchsorted(by_key, by_token, "right") - 1
-            kinds = np.bincount(at_key, minlength=len(by_key))
-            group = np.searchsorted(by_token, np.arange(len(key)), "right") - 1
-            own = np.flatnonzero((kind == MEMBER) & (total[at_key[group]] > 1))
-            if len(own):
-                g, k, logs = group[own], at_key[group[own]], log[own].astype(np.float64)
-                gain = np.log((each[g] - 1 + kinds[k] * np.exp(logs)) / (total[k] - 1 + kinds[k])) - logs
-                yield batch_of(MEMBER, key[own], token[own], row[own], gain)
-            wide = np.flatnonzero(np.logical_or.reduceat(kind == COUNT, by_key)[at_key])
-            if len(wide):
-                at, k = by_token[wide], at_key[wide]
-                yield batch_of(COUNT, key[at], token[at], np.full(len(at), -1), np.zeros(len(at)), each[wide], total[k], kinds[k].astype(np.int64))
-
-        held: list[np.ndarray] | None = None
+        held: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            aside = columns[0] == ASIDE
-            if aside.any():
-                kind, key, token, row, log, _ = (c[aside] for c in columns)
-                yield batch_of(ASIDE, key, token, row, log)
-                columns = [c[~aside] for c in columns]
-            if held is not None:
-                columns = [np.append(h, c) for h, c in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            last = int(np.searchsorted(columns[1], columns[1][-1]))
-            if last:
-                yield from finished(*(c[:last] for c in columns))
-            held = [c[last:] for c in columns]
-        if held is not None and len(held[0]):
-            yield from finished(*held)
-
-    part = F.when(F.col("kind") == ASIDE, F.pmod(F.xxhash64("row"), F.lit(1024))).otherwise(F.lit(-1))
-    return rows.repartition("key", part).sortWithinPartitions("key", "token").mapInArrow(run, "kind int, key long, token int, row long, value double, n long, total long, kinds long")
+            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and blob[1] != held[-1][1]:
+                    yield finished(held)
+                    held = []
+                held.append(blob)
+        if held:
+            yield finished(held)
+
+    return found.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "row long, gain double")
+
+
+def round_of(scored: DataFrame, n_places: int, scratch: Scratch, remainder: int | None = None) -> DataFrame:
+    """row, gain of one round of the memory, kept; n_places: about as many places are asked."""
+    buckets = max(1, -(-n_places // BUCKET))
+    with small_batches(scored.sparkSession):
+        return scratch.keep(gains_of(count_contexts(spread(scored, buckets, remainder), buckets), buckets))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows reach Python some BATCH at a time, as they may have many tokens each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def remembered(scored: DataFrame, scratch: Scratch) -> DataFrame:
@@ -438,28 +564,19 @@ def remembered(scored: DataFrame, scratch: Scratch) -> DataFrame:
 
     A context that occurs once in the corpus adds nothing. scored: a round's keys, tokens, logs.
     """
-    return gains_of(scratch.keep(count_contexts(spread(scored))))
+    return round_of(scored, scored.agg(F.sum(F.size("keys"))).first()[0] or 0, scratch)
 
 
 def remembered_everywhere(scored: DataFrame, scratch: Scratch) -> DataFrame:
-    """``remembered`` over all rounds; scored is kept and has each token. A round's tables go before the next."""
+    """``remembered`` over all rounds; scored is kept and has each token."""
+    n_places = (scored.agg(F.sum("n_tokens")).first()[0] or 0) // EVERY
     out = None
     for remainder in range(EVERY):
-        found = scratch.keep(count_contexts(spread(asked_at(scored, remainder))))
-        gain = scratch.keep(gains_of(found))
-        scratch.drop(found)
+        gain = round_of(scored, n_places, scratch, remainder)
         out = gain if out is None else out.unionByName(gain)
     return out.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
-def gains_of(found: DataFrame) -> DataFrame:
-    """row, gain from what ``count_contexts`` gives."""
-    wide = found.filter(F.col("kind") == ASIDE).select("key", "token", "row", F.col("value").alias("log")).join(found.filter(F.col("kind") == COUNT).select("key", "token", "n", "total", "kinds"), ["key", "token"])
-    corrected = F.log((F.col("n") - 1 + F.col("kinds") * F.exp("log")) / (F.col("total") - 1 + F.col("kinds"))) - F.col("log")
-    gains = found.filter(F.col("kind") == MEMBER).select("row", "value").unionByName(wide.select("row", corrected.alias("value")))
-    return gains.groupBy("row").agg(F.sum("value").alias("gain"))
-
-
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from every text of docs and scores them all.
 

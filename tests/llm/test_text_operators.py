@@ -755,3 +755,29 @@ def test_chroma_recall_with_near_copies(spark):
         own += mine is not None and errors[:, mine].min() <= errors.min() + 1e-9
     print("recall", own / 75, near_found, near_pairs)
     assert own >= 0.98 * 75 and near_found >= 0.8 * near_pairs > 0
+
+
+@pytest.mark.parametrize("sizes", [(400_000, 1 << 19, 64), (300, 200, 5), (50, 1 << 19, 2)])
+def test_lm_places_travel_together(spark, monkeypatch, sizes):
+    """A chunk sends a row for each bucket, not for each place, and gains are the same however places are cut."""
+    for name, size in zip(("BUCKET", "CHUNK", "HOT"), sizes):
+        monkeypatch.setattr(lm_scoring, name, size)
+    r = random.Random(8)
+    lists = [[r.randrange(4) for _ in range(r.choice([0, 3, 5, 400]))] for _ in range(30)] + [[7] * 300, [1, 2, 3, 4, 5]]
+    logs = [[-1 - r.random() for _ in x] for x in lists]
+    blob = lambda xs, kind: bytearray(np.array(xs, kind).tobytes())
+    scored = spark.createDataFrame([(i, len(x), blob(x, "<u4"), blob(y, "<f4")) for i, (x, y) in enumerate(zip(lists, logs))], "row long, n_tokens long, ids binary, each binary").repartition(3, "row").cache()
+    n = Counter((tuple(x[k - 2 : k] + x[k + 1 : k + 3]), x[k]) for x in lists for k in range(2, len(x) - 2))
+    at = {}
+    for (c, t), k in n.items():
+        at.setdefault(c, {})[t] = k
+    expected = {}
+    for i, (x, y) in enumerate(zip(lists, logs)):
+        for k in range(2, len(x) - 2):
+            here = at[tuple(x[k - 2 : k] + x[k + 1 : k + 3])]
+            if sum(here.values()) > 1:
+                expected[i] = expected.get(i, 0.0) + np.log((here[x[k]] - 1 + len(here) * np.exp(y[k])) / (sum(here.values()) - 1 + len(here))) - y[k]
+    got = dict(lm_scoring.remembered_everywhere(scored, Scratch(spark, "test")).collect())
+    assert {i: got.get(i, 0.0) for i in range(len(lists))} == pytest.approx({i: expected.get(i, 0.0) for i in range(len(lists))}, abs=1e-3)
+    if sizes[1] > 10_000:
+        assert lm_scoring.spread(scored, 4, 0).count() <= 3 * (1 + 2 * 4)
