@@ -16,7 +16,7 @@ number of tokens, block by block on the executors. Steps grow with the tokens, a
 the driver is one set of weights and one count for each place of the vocabulary.
 
 The memory grows with the corpus too. At every token with two on either side, the whole corpus is
-asked what stood between these neighbours elsewhere, in eight rounds by the context's hash: the
+asked what stood between these neighbours elsewhere, in four rounds by the context's hash: the
 counts, less the occurrence itself, correct the network's probability, which enters as so many
 occurrences as the context has different tokens. So a text whose passages recur elsewhere scores
 above one of its own.
@@ -48,7 +48,9 @@ PLACES_ALL = 1 << 16  # places of the vocabulary
 GRID = 32
 CLASSES = GRID * GRID
 BEYOND = CLASSES  # class of what lies beyond a text
-EVERY = 8  # rounds in which the memory is asked, each at the contexts of one remainder
+EVERY = 8  # remainders of contexts' keys, a power of two
+TOGETHER = 2  # remainders of which the memory is asked in one round
+FACTORS = {k: np.uint32(f) for k, f in zip((-2, -1, 1, 2), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))}
 HOT = 64  # places of a chunk from which on a context is hot
 CHUNK = 1 << 19  # places of a task that ask together
 BUCKET = 400_000  # places, about, whose contexts are counted together
@@ -133,9 +135,10 @@ class Network:
             at += n
 
     def layer(self, contexts: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.bias, (len(contexts), self.hidden)).copy()
-        for k in range(2 * REACH):
-            total += self.embed[contexts[:, k]] * self.place[k]
+        total = (self.embed * self.place[0] + self.bias).take(contexts[:, 0], 0)
+        one = np.empty_like(total)
+        for k in range(1, 2 * REACH):
+            total += np.take(self.embed * self.place[k], contexts[:, k], 0, out=one, mode="clip")  # else it is buffered
         return np.tanh(total, out=total)
 
     def groups(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -148,7 +151,7 @@ class Network:
     def forward(self, contexts: np.ndarray, targets: np.ndarray) -> tuple:
         """Order, bounds, hidden layer in that order, and for both softmaxes the target's logit, all exponentials and their sums."""
         order, bounds = self.groups(targets)
-        hidden, at = self.layer(contexts[order]), targets[order]
+        hidden, at = self.layer(contexts.take(order, 0)), targets[order]
         fine = np.empty((len(targets), GRID), np.float32)
         for g, s, e in bounds:
             np.matmul(hidden[s:e], self.fine[g], out=fine[s:e])
@@ -166,7 +169,7 @@ class Network:
     def gradient(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of the mean cross-entropy, as flat weights."""
         order, bounds, hidden, (_, coarse, total), (_, fine, total_fine) = self.forward(contexts, targets)
-        contexts, targets, rows = contexts[order], targets[order], np.arange(len(targets))
+        contexts, targets, rows = contexts.take(order, 0), targets[order], np.arange(len(targets))
         out = Network(np.zeros_like(self.flat), self.hidden)
         coarse *= (1 / (total * len(rows)))[:, None]
         fine *= (1 / (total_fine * len(rows)))[:, None]
@@ -186,7 +189,7 @@ class Network:
             by = np.argsort(at, kind="stable")
             ordered = at[by]
             starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            sums, which = np.add.reduceat(back[by], starts, axis=0), ordered[starts]
+            sums, which = np.add.reduceat(back.take(by, 0), starts, axis=0), ordered[starts]
             out.place[k] = np.einsum("nh,nh->h", sums, self.embed[which])
             out.embed[which] += sums * self.place[k]
         return out.flat
@@ -237,6 +240,12 @@ def token_lists(batches: Iterator[pa.RecordBatch], column: int, most: int = 200_
         yield held
 
 
+@functools.cache
+def keep_memory() -> None:
+    """The C library raises its bounds to the largest block freed; below them memory isn't given back and cleared again at every step."""
+    np.ones(31 << 20, np.uint8)
+
+
 def train(rows: DataFrame, classes: Classes, batch: int = 8192) -> Network:
     """A network that has been fitted to every window of rows (slice, ids) once.
 
@@ -250,13 +259,14 @@ def train(rows: DataFrame, classes: Classes, batch: int = 8192) -> Network:
         def run(batches: Iterator[pa.RecordBatch], model: bytes = model, rate: float = rate) -> Iterator[pa.RecordBatch]:
             start, own = pickle.loads(model)
             network, n = Network(start.copy()), 0
+            keep_memory()
             adam = Adam(network, rate)
             for texts in token_lists(batches, 0):
                 contexts, targets, _ = windows(texts, own)
                 mix = np.random.default_rng(n).permutation(len(targets))
                 steps = -(-len(targets) // batch)
                 for part in np.array_split(mix, steps) if steps else ():
-                    adam.step(contexts[part], targets[part])
+                    adam.step(contexts.take(part, 0), targets[part])
                 n += len(targets)
             if n:
                 context = TaskContext.get()
@@ -289,12 +299,54 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary())], names=["block", "weights"])
 
 
-def context_keys(tokens: np.ndarray) -> np.ndarray:
-    """A hash of the NEAR tokens on either side, for each token but the outer NEAR of a text."""
-    end, key = len(tokens) - NEAR, np.uint64(0)
-    for k in (-2, -1, 1, 2):
-        key = mixed(key + tokens[NEAR + k : end + k].astype(np.uint64) + np.uint64(1))
-    return key
+def remainders(tokens: np.ndarray) -> np.ndarray:
+    """Of the contexts' keys by EVERY, for each token but the outer NEAR."""
+    end = len(tokens) - NEAR
+    total = np.zeros(end - NEAR, np.uint32)
+    for k, factor in FACTORS.items():
+        total += tokens[NEAR + k : end + k] * factor
+    return total >> np.uint32(32 - EVERY.bit_length() + 1)
+
+
+def context_keys(tokens: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the NEAR tokens on either side, for each token but the outer NEAR of a text, or for those at some places."""
+    every, key = remainders(tokens), np.uint64(0)
+    at, every = (np.arange(NEAR, len(tokens) - NEAR), every) if at is None else (at, every[at - NEAR])
+    for k in FACTORS:
+        key = mixed(key + tokens[at + k].astype(np.uint64) + np.uint64(1))
+    return key & ~np.uint64(EVERY - 1) | every.astype(np.uint64)
+
+
+def places_asked(tokens: np.ndarray, lengths: np.ndarray, turn: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text's number, place and key of what is asked in a round, in texts that lie one after the other.
+
+    Contexts are hashed along all texts, a block at a time; those that reach over an end are left out.
+    """
+    texts, places, keys = ([np.zeros(0, kind)] for kind in (np.uint32, np.int64, np.uint64))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    starts, number = ends - lengths, np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+    for start in range(0, len(tokens) - 2 * NEAR, block):
+        own = tokens[start : start + block + 2 * NEAR]
+        at = np.flatnonzero(remainders(own) // TOGETHER == turn) + NEAR
+        text = number[start + at]
+        inner = (start + at - starts[text] >= NEAR) & (ends[text] - start - at > NEAR)
+        at = at[inner]
+        texts.append(text[inner])
+        places.append(start + at)
+        keys.append(context_keys(own, at))
+    return np.concatenate(texts), np.concatenate(places), np.concatenate(keys)
+
+
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A column of binaries, of so many of the values each."""
+    ends = np.append(0, np.cumsum(lengths)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def by_round(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
+    """For each round of the memory, the logs of each text's places that are asked in it."""
+    found = [places_asked(tokens, lengths, turn)[:2] for turn in range(EVERY // TOGETHER)]
+    return [binaries(logs[at], np.bincount(text, minlength=len(lengths))) for text, at in found]
 
 
 @functools.lru_cache(maxsize=2)
@@ -304,25 +356,28 @@ def scorer(model: bytes) -> tuple[Network, Classes]:
 
 
 def score_texts(rows: DataFrame, classes: Classes, network: Network) -> DataFrame:
-    """row, doc_id, n_tokens, network (summed log-probability), ids and the log-probability of each token (32-bit floats)."""
+    """row, doc_id, n_tokens, network (summed log-probability), ids and the logs of the memory's rounds (32-bit floats)."""
     model = pickle.dumps((network.flat, classes))
+    rounds = [f"logs{i}" for i in range(EVERY // TOGETHER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kinds = scorer(model)
+        keep_memory()
         for batch in batches:
             done = 0
             for texts in token_lists(iter([batch]), 2, 100_000):
                 contexts, targets, places = windows(texts, kinds)
                 logs = (own.log_prob(contexts, targets) + kinds.share[places]).astype("<f4")
-                each = np.split(logs, np.cumsum([len(t) for t in texts])[:-1])
+                lengths = np.array([len(t) for t in texts])
+                each = np.split(logs, np.cumsum(lengths)[:-1])
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([float(x.sum(dtype=np.float64)) for x in each], pa.float64()), part.column(2), pa.array([x.tobytes() for x in each], pa.binary())],
-                    names=["row", "doc_id", "n_tokens", "network", "ids", "each"],
+                    [part.column(0), part.column(1), pa.array(lengths, pa.int64()), pa.array([float(x.sum(dtype=np.float64)) for x in each], pa.float64()), part.column(2), *by_round(np.concatenate(texts), lengths, logs)],
+                    names=["row", "doc_id", "n_tokens", "network", "ids", *rounds],
                 )
 
-    return rows.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, ids binary, each binary")
+    return rows.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, ids binary, " + ", ".join(f"{x} binary" for x in rounds))
 
 
 def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -332,23 +387,11 @@ def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def asked_in(ids: pa.Array, each: pa.Array, remainder: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text's number, key, token and log of the places whose context's hash has that remainder by EVERY.
-
-    Contexts are hashed along all texts, a block at a time; those that reach over an end are left out.
-    """
+def asked_in(ids: pa.Array, logs: pa.Array, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text's number, key, token and log of the places that are asked in a round. logs: that round's."""
     tokens, lengths = flat(ids, "<u4")
-    logs, _ = flat(each, "<f4")
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for start in range(0, len(tokens) - 2 * NEAR, block):
-        key = context_keys(tokens[start : start + block + 2 * NEAR])
-        where = np.flatnonzero(key % np.uint64(EVERY) == remainder)
-        found.append((key[where], where + (start + NEAR)))
-    key, at = (np.concatenate(x) for x in zip(*found))
-    text = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)[at]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    inner = (at - (ends - lengths)[text] >= NEAR) & (ends[text] - at > NEAR)
-    return text[inner], key[inner], tokens[at[inner]], logs[at[inner]]
+    text, at, key = places_asked(tokens, lengths, turn)
+    return text, key, tokens[at], flat(logs, "<f4")[0]
 
 
 def asked_at(scored: DataFrame, remainder: int) -> DataFrame:
@@ -356,12 +399,14 @@ def asked_at(scored: DataFrame, remainder: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, key, token, log = asked_in(batch.column(4), batch.column(5), remainder)
+            found = asked_in(batch.column(4), batch.column(5), remainder // TOGETHER)
+            own = found[1] % np.uint64(EVERY) == remainder
+            text, key, token, log = (x[own] for x in found)
             ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=batch.num_rows))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key.view(np.int64), token.view(np.int32), log)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["row", "doc_id", "n_tokens", "network", "keys", "tokens", "logs"])
 
-    return scored.select("row", "doc_id", "n_tokens", "network", "ids", "each").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, keys array<long>, tokens array<int>, logs array<float>")
+    return scored.select("row", "doc_id", "n_tokens", "network", "ids", f"logs{remainder // TOGETHER}").mapInArrow(run, "row long, doc_id long, n_tokens long, network double, keys array<long>, tokens array<int>, logs array<float>")
 
 
 def score_windows(rows: DataFrame, classes: Classes, network: Network, remainder: int = 0) -> DataFrame:
@@ -377,10 +422,10 @@ def packed(rows: list[tuple], kinds: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[k.split()[1]]) for c, k in zip(columns, kinds.split(", "), strict=True)], names=names)
 
 
-def spread(scored: DataFrame, buckets: int, remainder: int | None = None) -> DataFrame:
+def spread(scored: DataFrame, buckets: int, turn: int | None = None) -> DataFrame:
     """PACKED rows: the places where the memory is asked, cut into chunks, a chunk's places by range of their keys.
 
-    scored has keys, tokens, logs, or, with a remainder, ids and each. MEMBER: keys, tokens, logs
+    scored has keys, tokens, logs, or, for a round, ids and its logs. MEMBER: keys, tokens, logs
     and numbers of texts of a chunk's places in a bucket. A context that HOT places of a chunk have
     is hot there: COUNT has key, token and number of the chunk's entries from ``first`` on, and its
     places, which needn't meet in one task, stay with the chunk, by entry. HELD: the chunk's rows,
@@ -421,12 +466,12 @@ def spread(scored: DataFrame, buckets: int, remainder: int | None = None) -> Dat
         n_texts = n_places = 0
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            if remainder is None:
+            if turn is None:
                 text = np.repeat(np.arange(len(rows), dtype=np.uint32), np.array(batch.column(1).value_lengths().to_pylist(), np.int64))
                 key, token, log = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
                 key, token = key.view(np.uint64), token.view(np.uint32)
             else:
-                text, key, token, log = asked_in(batch.column(1), batch.column(2), remainder)
+                text, key, token, log = asked_in(batch.column(1), batch.column(2), turn)
             held.append((rows, text + np.uint32(n_texts), key, token, log))
             n_texts, n_places = n_texts + len(rows), n_places + len(key)
             if n_places >= CHUNK:
@@ -435,7 +480,7 @@ def spread(scored: DataFrame, buckets: int, remainder: int | None = None) -> Dat
         if n_places:
             yield from chunk_rows(chunk, *(np.concatenate(x) for x in zip(*held)))
 
-    columns = ["row", "keys", "tokens", "logs"] if remainder is None else ["row", "ids", "each"]
+    columns = ["row", "keys", "tokens", "logs"] if turn is None else ["row", "ids", f"logs{turn}"]
     return scored.select(*columns).mapInArrow(run, PACKED)
 
 
@@ -454,7 +499,6 @@ def count_contexts(rows: DataFrame, buckets: int) -> DataFrame:
         key, token = joined(3, "<u8"), joined(4, "<u4")
         n = np.concatenate([np.frombuffer(x[5], "<i8") if x[0] == COUNT else np.ones(k, np.int64) for x, k in zip(blobs, sizes)])
         log = np.concatenate([np.zeros(k, "<f4") if x[0] == COUNT else np.frombuffer(x[5], "<f4") for x, k in zip(blobs, sizes)])
-        counted = np.repeat([x[0] == COUNT for x in blobs], sizes)
         order = np.argsort(key)
         ordered = key[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -540,11 +584,11 @@ def gains_of(found: DataFrame, buckets: int) -> DataFrame:
     return found.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "row long, gain double")
 
 
-def round_of(scored: DataFrame, n_places: int, scratch: Scratch, remainder: int | None = None) -> DataFrame:
+def round_of(scored: DataFrame, n_places: int, scratch: Scratch, turn: int | None = None) -> DataFrame:
     """row, gain of one round of the memory, kept; n_places: about as many places are asked."""
     buckets = max(1, -(-n_places // BUCKET))
     with small_batches(scored.sparkSession):
-        return scratch.keep(gains_of(count_contexts(spread(scored, buckets, remainder), buckets), buckets))
+        return scratch.keep(gains_of(count_contexts(spread(scored, buckets, turn), buckets), buckets))
 
 
 @contextmanager
@@ -569,10 +613,10 @@ def remembered(scored: DataFrame, scratch: Scratch) -> DataFrame:
 
 def remembered_everywhere(scored: DataFrame, scratch: Scratch) -> DataFrame:
     """``remembered`` over all rounds; scored is kept and has each token."""
-    n_places = (scored.agg(F.sum("n_tokens")).first()[0] or 0) // EVERY
+    n_places = (scored.agg(F.sum("n_tokens")).first()[0] or 0) * TOGETHER // EVERY
     out = None
-    for remainder in range(EVERY):
-        gain = round_of(scored, n_places, scratch, remainder)
+    for turn in range(EVERY // TOGETHER):
+        gain = round_of(scored, n_places, scratch, turn)
         out = gain if out is None else out.unionByName(gain)
     return out.groupBy("row").agg(F.sum("gain").alias("gain"))
 

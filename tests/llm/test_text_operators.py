@@ -765,8 +765,9 @@ def test_lm_places_travel_together(spark, monkeypatch, sizes):
     r = random.Random(8)
     lists = [[r.randrange(4) for _ in range(r.choice([0, 3, 5, 400]))] for _ in range(30)] + [[7] * 300, [1, 2, 3, 4, 5]]
     logs = [[-1 - r.random() for _ in x] for x in lists]
-    blob = lambda xs, kind: bytearray(np.array(xs, kind).tobytes())
-    scored = spark.createDataFrame([(i, len(x), blob(x, "<u4"), blob(y, "<f4")) for i, (x, y) in enumerate(zip(lists, logs))], "row long, n_tokens long, ids binary, each binary").repartition(3, "row").cache()
+    rows = [(np.array(x, np.uint32), np.array(y, np.float32)) for x, y in zip(lists, logs)]
+    rounds = [[bytearray(b[0].as_py()) for b in lm_scoring.by_round(x, np.array([len(x)]), y)] for x, y in rows]
+    scored = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), *rounds[i]) for i, (x, _) in enumerate(rows)], "row long, n_tokens long, ids binary, " + ", ".join(f"logs{i} binary" for i in range(len(rounds[0])))).repartition(3, "row").cache()
     n = Counter((tuple(x[k - 2 : k] + x[k + 1 : k + 3]), x[k]) for x in lists for k in range(2, len(x) - 2))
     at = {}
     for (c, t), k in n.items():
