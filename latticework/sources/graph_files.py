@@ -17,6 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,6 +31,8 @@ FORMATS = ("txt", "fsg", "bin", "cudabin")
 MOST_BYTES = 1 << 40
 #: Bytes of graphs that a task packs, and the driver holds, at a time.
 PIECE_BYTES = 1 << 23
+#: Strings of a label dictionary up to which it is sent to every task.
+MOST_LABELS = 100_000
 #: Graphs of a binary file that are read together.
 SLICE = 1 << 15
 
@@ -48,13 +51,18 @@ def read_graphs(spark: SparkSession, fmt: str, path: str, **options) -> DataFram
     return readers[file_format(fmt)](spark, path, **options)
 
 
+def records_of(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, at: records of text files, cut before graph lines, and their places."""
+    text = spark.read.option("lineSep", "\nt").text(path)
+    return text.withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """graph (file and first line's place), kind, a, b, c of the records of text files, in record order ``at``.
 
     A file is cut at its graph lines, so a record is a graph and graphs are parsed side by side.
     """
-    text = spark.read.option("lineSep", "\nt").text(path).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    lines = text.select("file", "at", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = records_of(spark, path).select("file", "at", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     return lines.select("file", "at", "line", words.alias("w")).filter(F.get("w", F.lit(0)).isin("v", "e", "u"))
 
@@ -93,8 +101,13 @@ def read_fsg(spark: SparkSession, path: str, per_graph_labels: bool = False) ->
     """Graphs of text files with string labels, encoded from 0 by first appearance.
 
     One dictionary serves all graphs; with ``per_graph_labels`` each graph has its own, so equal
-    strings of different graphs may get different numbers.
+    strings of different graphs may get different numbers. Records are parsed whole, once for
+    numbers of graphs and labels and once for the graphs, without a shuffle; a dictionary of more
+    than ``MOST_LABELS`` strings, or one for each graph, is joined.
     """
+    found = None if per_graph_labels else read_records(spark, path)
+    if found is not None:
+        return found
     rows = lines_of(spark, path)
     word = lambda i: F.get("w", F.lit(i))
     own = ranked(rows.filter(word(0) == "v")).select("file", "at", "gid", "line", word(1).cast("int").alias("vid"), word(2).alias("label"))
@@ -115,6 +128,108 @@ def read_fsg(spark: SparkSession, path: str, per_graph_labels: bool = False) ->
     return checked(vertices, encoded(links, "elabel").select("gid", "src", "dst", "elabel"))
 
 
+def words_of(values: pa.Array) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, pa.Array]]]:
+    """Which records have vertices; for the lines v and u of those, their record, line and words."""
+    lines = pc.split_pattern(values, "\n")
+    record = pc.list_parent_indices(lines).to_numpy()
+    line = within(np.asarray(pc.list_value_length(lines), np.int64))
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lines.flatten()))
+    first = pc.list_element(words, 0)
+    is_v, is_u = (np.asarray(pc.equal(first, x)) for x in "vu")
+    has = np.zeros(len(values), bool)
+    has[record[is_v]] = True
+    out = {}
+    for kind, own, least in (("v", is_v, 3), ("u", is_u & has[record], 4)):
+        w = words.filter(pa.array(own))
+        if len(w) and pc.min(pc.list_value_length(w)).as_py() < least:
+            raise ValueError(f"a line {kind} has fewer than {least} words")
+        out[kind] = (record[own], line[own], w)
+    return has, out
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """``read_fsg`` with one dictionary, or None if that has more than MOST_LABELS strings."""
+    rows = records_of(spark, path)
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # as many as the reader has listed
+    if not files:
+        return spark.createDataFrame([], ROWS)
+    numbers = F.broadcast(spark.createDataFrame(list(zip(files, range(len(files)))), "file string, number long"))
+    records = rows.join(numbers, "file").select("number", "at", "value")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, at = (batch.column(i).to_numpy() for i in (0, 1))
+            has, words = words_of(batch.column(2))
+            out = []
+            for n, part in sorted(set(zip(number[has].tolist(), (at[has] >> 33).tolist()))):
+                out.append(("", None, n, part, int((has & (number == n) & (at >> 33 == part)).sum())))
+            for kind, last in (("v", 2), ("u", 3)):
+                record, line, w = words[kind]
+                if len(w):
+                    order = np.lexsort((line, at[record], number[record]))
+                    labels = pc.list_element(w, last).dictionary_encode()
+                    codes, first = np.unique(labels.indices.to_numpy()[order], return_index=True)
+                    for c, i in zip(codes.tolist(), order[first].tolist()):
+                        out.append((kind, labels.dictionary[c].as_py(), int(number[record[i]]), int(at[record[i]]), int(line[i])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "label", "number", "at", "n"])
+
+    with kept_on_disk(records.mapInArrow(seen, "kind string, label string, number long, at long, n long")) as found:
+        parts = sorted(tuple(r) for r in found.filter("kind = ''").groupBy("number", "at").agg(F.sum("n")).collect())  # one for each piece of a file
+        firsts = found.filter("kind != ''").groupBy("kind", "label").agg(F.min(F.struct("number", "at", "n")).alias("first")).limit(MOST_LABELS + 1).collect()
+    if len(firsts) > MOST_LABELS:
+        return None
+    labels = {kind: [r["label"] for r in sorted((r for r in firsts if r["kind"] == kind), key=lambda r: tuple(r["first"]))] for kind in "vu"}
+    starts, total = {}, 0
+    for n, part, k in parts:
+        starts[n, part] = total
+        total += k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = dict(starts)
+        known = {kind: pa.array(x, pa.string()) for kind, x in labels.items()}
+        for batch in batches:
+            number, at = (batch.column(i).to_numpy() for i in (0, 1))
+            has, words = words_of(batch.column(2))
+            if not has.any():
+                continue
+            gid = np.zeros(len(has), np.int64)
+            for n, part in sorted(set(zip(number[has].tolist(), (at[has] >> 33).tolist()))):
+                own = has & (number == n) & (at >> 33 == part)
+                k = int(own.sum())
+                gid[own] = following[n, part] + np.arange(k)
+                following[n, part] += k
+            place, gids, n = np.cumsum(has) - 1, gid[has], int(has.sum())
+            word = lambda w, i: pc.list_element(w, i).cast(pa.int32()).to_numpy()
+            code = lambda w, i, kind: pc.index_in(pc.list_element(w, i), value_set=known[kind]).to_numpy()
+            record, _, w = words["v"]
+            g, vid, vlabel = place[record], word(w, 1), code(w, 2, "v")
+            order = np.lexsort((vid, g))
+            g, vid, vlabel = g[order], vid[order], vlabel[order]
+            nv = np.bincount(g, minlength=n)
+            if len(gap := np.flatnonzero(vid != within(nv))):
+                raise ValueError(f"vertex numbers aren't dense from 0: graph {gids[g[gap[0]]]}")
+            record, _, w = words["u"]
+            g, src, dst, elabel = (place[record], word(w, 1), word(w, 2), code(w, 3, "u")) if len(w) else (np.zeros(0, np.int64) for _ in range(4))
+            order = np.lexsort((elabel, dst, src, g))
+            g, src, dst, elabel = (x[order] for x in (g, src, dst, elabel))
+            if len(bad := np.flatnonzero((src < 0) | (dst < 0) | (src >= nv[g]) | (dst >= nv[g]))):
+                raise ValueError(f"define vertices before edges: graph {gids[g[bad[0]]]}")
+            rows = graph_rows(0, n, nv, vlabel, np.bincount(g, minlength=n), [src, dst, elabel])
+            yield pa.RecordBatch.from_arrays([pa.array(gids), *rows.columns[1:]], names=rows.schema.names)
+
+    return records.mapInArrow(run, ROWS)
+
+
+@contextmanager
+def kept_on_disk(df: DataFrame) -> Iterator[DataFrame]:
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def write_txt(graphs: DataFrame, path: str) -> None:
     """One record for each graph: its vertices by number, then its edges in order of their text."""
     v = F.transform("vlabels", lambda label, i: F.concat_ws(" ", F.lit("v"), i.cast("string"), label.cast("string")))

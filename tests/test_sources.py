@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,28 @@ def test_binary_files_are_written_and_read_in_pieces(spark, table, tmp_path, mon
         assert f.read() == (G.pack_bin(whole) if fmt == "bin" else G.pack_columns(whole))
     assert G.read_graphs(spark, fmt, path).rdd.getNumPartitions() == 8
     assert rows(G.read_graphs(spark, fmt, path)) == [(i, v, e) for i, (v, e) in enumerate(whole)]
+
+
+def test_fsg_records_are_parsed_whole(spark, tmp_path, monkeypatch):
+    """Several files, odd spaces, empty records and lines of other kinds; equal to the joined way, without a shuffle."""
+    r = random.Random(4)
+    for name in "bac":
+        lines = ["# a comment", "v 0 stray", "v 1 Ünder"] if name == "a" else []
+        for g in range(40):
+            n = r.choice([0, 1, 2, 5])
+            lines += [f"t # {g}", "", "x 1 2"] + [f" v\t{i}  L{r.randrange(30)} more" for i in r.sample(range(n), n)]
+            lines += [f"u {i - 1} {i} E{r.randrange(9)}\r" for i in range(1, n)] + (["u 0 9 lost"] if not n else [])
+        (tmp_path / f"{name}.fsg").write_text("\n".join(lines) + "\n", newline="")
+    found = G.read_fsg(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    one = rows(found)
+    monkeypatch.setattr(G, "MOST_LABELS", 5)
+    assert one == rows(G.read_fsg(spark, str(tmp_path))) and len(one) > 60
+
+
+@pytest.mark.parametrize("text", ["t\nv 1 A\n", "t\nv 0 A\nv 0 B\n", "t\nv 0 A\nu 0 1 x\n", "t\nv 0 A\nu -1 0 x\n"])
+def test_fsg_faults_fail(spark, tmp_path, text):
+    (tmp_path / "a.fsg").write_text("t\nv 0 A\n" + text)
+    with pytest.raises(Exception, match="dense from 0|vertices before edges"):
+        G.read_fsg(spark, str(tmp_path)).collect()
