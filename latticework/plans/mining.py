@@ -1,9 +1,11 @@
 """Frequent connected subgraph patterns, level by level.
 
-A level is one plan: embeddings of the level's patterns meet the adjacency on (gid, vertex) at
-the places where a pattern may grow; what can be grown is counted by distinct graph; the frequent
-growths come to the driver, which keeps the canonical ones and sends their dictionary back.
-Everything before the count is partitioned by gid and stays there.
+A level is one pass over the classes of equal graphs (``classes``): embeddings of the level's
+patterns are walked in numpy to the places where a pattern may grow, and what can be grown is
+counted by distinct graph; the frequent growths come to the driver, which keeps the canonical ones
+and sends their dictionary back. Nothing but the count is shuffled, and no embedding is kept.
+
+The single steps of a level are DataFrame plans too, partitioned by gid, for the queries that look at them.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import dfscode as D
+from latticework.plans import classes as C
 
 #: Rows of a driver-made or counted table up to which it is broadcast (some 100 MB); longer ones are joined by shuffle.
 MOST_BROADCAST = 1_000_000
@@ -190,57 +194,46 @@ class Strategy:
         return [i in kept for i in range(len(codes))]
 
 
-def mine_codes(adj: DataFrame, minsup: int, max_edges: int | None = None, strategy: Strategy | None = None) -> list[tuple[D.Code, int]]:
+def mine_codes(graphs: DataFrame, minsup: int, max_edges: int | None = None, strategy: Strategy | None = None) -> list[tuple[D.Code, int]]:
     """Every canonical frequent pattern with its support, in depth-first order of codes.
 
-    The patterns of a level, and only they, come to the driver: their number depends on the
-    labels and the support, not on the number of graphs.
+    graphs: an adjacency, whole graphs, or classes of them. The patterns of a level, and only they,
+    come to the driver: their number depends on the labels and the support, not on the number of graphs.
     """
     check_support(minsup)
-    spark, own = adj.sparkSession, strategy or Strategy()
+    spark, own = graphs.sparkSession, strategy or Strategy()
     found: list[tuple[D.Code, int]] = []
-    with held(shrink(adj, minsup)) as base:
-        alive = []
-        try:
-            seeds = frequent(seed_support(base), minsup).collect()
-            level = {i: (((0, 1, r["fl"], r["el"], r["tl"]),), r["support"]) for i, r in enumerate(sorted(seeds, key=lambda r: r[:3]))}
-            table = spark.createDataFrame([(i, c[0][2], c[0][3], c[0][4]) for i, (c, _) in level.items()], "pid int, fl int, el int, tl int")
-            embeddings = first_embeddings(base, small(table, len(level)))
-            allowed: dict[int, set[int] | None] = {}
-            while level:
-                found += level.values()
-                for call in own.on_level:
-                    call(list(level.values()))
-                if max_edges is not None and len(next(iter(level.values()))[0]) >= max_edges:
-                    break
-                where = [s for pid, (c, _) in level.items() for s in own.places(pid, c, allowed.get(pid))]
-                grown = extensions(embeddings, base, small(spark.createDataFrame(where, SLOTS), len(where))).persist(StorageLevel.MEMORY_AND_DISK)
-                alive.append(grown)
-                rows = [r for r in sorted(frequent(extension_support(grown), minsup).collect()) if own.wanted(level[r["pid"]][0], tuple(r[1:6]))]
-                codes = [level[r["pid"]][0] + ((r["f"], r["t"], r["fl"], r["el"], r["tl"]),) for r in rows]
-                keep = own.canonical(spark, codes)
-                children = [(*r[:6], i) for i, (r, ok) in enumerate(zip(rows, keep, strict=True)) if ok]
-                grew: dict[int, set[int]] = {}
-                for r in rows:
-                    if r["f"] < r["t"]:
-                        grew.setdefault(r["pid"], set()).add(r["f"])
-                allowed = {c[-1]: grew.get(c[0], set()) for c in children}
-                level = {i: (codes[i], rows[i]["support"]) for *_, i in children}
-                if level and (max_edges is None or len(codes[0]) < max_edges):
-                    # Only the children's embeddings are held on; infrequent growths and the parents go.
-                    table = spark.createDataFrame(children, "pid int, f int, t int, fl int, el int, tl int, child int")
-                    embeddings = grow(grown, small(table, len(children))).persist(StorageLevel.MEMORY_AND_DISK)
-                    embeddings.count()
-                    for df in alive:
-                        df.unpersist()
-                    alive = [embeddings]
-        finally:
-            for df in alive:
-                df.unpersist()
+    with C.gathered(graphs) as classes:
+        seeds = sorted(tuple(r) for r in frequent(C.count_seeds(classes), minsup).collect())
+        triples = C.Triples([s[:3] for s in seeds])
+        level = [(((0, 1, *s[:3]),), s[3]) for s in seeds]
+        number = {s[:3]: i for i, s in enumerate(seeds)}
+        seed_of = np.array([number.get(x, -1) for x in triples.all], np.int64)
+        levels: list[C.Growths] = []
+        grew: list[set[tuple[int, int, int]] | None] = [None] * len(level)
+        while level:
+            found += level
+            for call in own.on_level:
+                call(level)
+            if max_edges is not None and len(level[0][0]) >= max_edges:
+                break
+            where = [s for pid, (c, _) in enumerate(level) for s in own.places(pid, c, None if grew[pid] is None else {f for f, _, _ in grew[pid]})]
+            levels.append(C.Growths(triples, [c for c, _ in level], where, grew))
+            counted = frequent(C.count_growths(classes, triples, seed_of, levels), minsup).collect()
+            rows = sorted((*levels[-1].growth(r["key"], triples), r["support"], r["key"]) for r in counted)
+            forward: dict[int, set[tuple[int, int, int]]] = {}
+            for r in rows:
+                if r[1] < r[2]:
+                    forward.setdefault(r[0], set()).add((r[1], *r[4:6]))
+            rows = [r for r in rows if own.wanted(level[r[0]][0], r[1:6])]
+            codes = [(*level[r[0]][0], r[1:6]) for r in rows]
+            kept = [(c, r) for c, r, ok in zip(codes, rows, own.canonical(spark, codes), strict=True) if ok]
+            levels[-1].follow([r[7] for _, r in kept])
+            level, grew = [(c, r[6]) for c, r in kept], [forward.get(r[0], set()) for _, r in kept]
     return sorted(found, key=lambda p: D.code_key(p[0]))
 
 
-def mine(adj: DataFrame, minsup: int, max_edges: int | None = None, strategy: Strategy | None = None) -> DataFrame:
+def mine(graphs: DataFrame, minsup: int, max_edges: int | None = None, strategy: Strategy | None = None) -> DataFrame:
     """PATTERNS of all frequent canonical patterns."""
-    found = mine_codes(adj, minsup, max_edges, strategy)
-    return adj.sparkSession.createDataFrame([(D.format_code(c), len(c), D.vertex_count(c), s) for c, s in found], PATTERNS)
+    found = mine_codes(graphs, minsup, max_edges, strategy)
+    return graphs.sparkSession.createDataFrame([(D.format_code(c), len(c), D.vertex_count(c), s) for c, s in found], PATTERNS)

@@ -2,12 +2,14 @@ import os
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from latticework import catalog
 from latticework.functions import dfscode as D
 from latticework.operators import containment, graphs
-from latticework.plans import mining
+from latticework.plans import classes, mining
 from latticework.sources.graph_files import read_txt
 
 # Small graphs with vertex and edge labels, as codes.
@@ -72,6 +74,56 @@ def test_complete_mining_equals_brute_force(spark, collection, minsup):
     assert [c for c, _ in found] == sorted((c for c, _ in found), key=D.code_key)
 
 
+def renumbered(graph, r):
+    labels, edges = graph
+    to = list(range(len(labels)))
+    r.shuffle(to)
+    return [labels[to.index(v)] for v in range(len(labels))], [(to[a], to[b], el) for a, b, el in edges]
+
+
+def test_equal_graphs_are_mined_once(spark):
+    """Copies whose vertices have other numbers are one class; labels beyond a byte and below zero are kept, edges without an end label left out."""
+    r = random.Random(5)
+    kinds = [of_code(t) for t in LABELLED[:3]] + [([-7, 70_000, 300], [(0, 1, 900), (1, 2, -1)])]
+    copies = [renumbered(g, r) for g in kinds for _ in range(9)]
+    rows = table(spark, [*copies, ([None, 0, 0], [(0, 1, 0)])])
+    expected = brute_force(copies, 9)
+    for form in (rows, graphs.adjacency_of(rows)):
+        with classes.gathered(form) as held:
+            found = held.select("width", "n").collect()
+            assert [x["n"] for x in found if x["width"] == 4] == [9]
+            assert len(found) < 20 and classes.n_graphs(held) == 36
+            assert dict(mining.mine_codes(held, 9)) == expected
+        assert dict(mining.mine_codes(form, 9)) == expected
+
+
+def test_growths_are_counted_in_pieces(monkeypatch):
+    """Pieces of any size count alike, though embeddings of a graph, and growths of an embedding, lie in several."""
+    collection = [random_graph(random.Random(s)) for s in range(40)]
+    types = [pa.int64(), pa.list_(pa.int32()), pa.list_(graphs.EDGE)]
+    dicts = [dict(zip(("gid", "vlabels", "edges"), (i, v, [dict(zip(("src", "dst", "elabel"), e)) for e in es]))) for i, (v, es) in enumerate(collection)]
+    batch = pa.RecordBatch.from_pylist(dicts, pa.schema(list(zip(("gid", "vlabels", "edges"), types))))
+    (narrow,) = classes.classes_of_rows(iter([batch]))
+    counted = pa.RecordBatch.from_arrays([*narrow.columns, pa.array([1] * len(narrow))], names=["width", "labels", "edges", "n"])
+    own = classes.Collection(counted)
+    seeds = sorted({(fl, el, tl) for fl, el, tl in zip(own.fl.tolist(), own.el.tolist(), own.tl.tolist()) if fl <= tl})
+    triples = classes.Triples(seeds)
+    own.shrink(triples)
+    number = {x: i for i, x in enumerate(seeds)}
+    codes = [((0, 1, *x),) for x in seeds]
+    first = classes.Growths(triples, codes, [s for i, c in enumerate(codes) for s in mining.slots(i, c)], [None] * len(codes))
+    open_to = np.flatnonzero(first.child >= 0)
+    after = [(*codes[p], tuple(e)) for p, *e in (first.growth(int(k), triples) for k in open_to)]
+    first.follow(open_to.tolist())
+    second = classes.Growths(triples, after, [s for i, c in enumerate(after) for s in mining.slots(i, c)], [None] * len(after))
+    seed_of = np.array([number.get(x, -1) for x in triples.all])
+    whole = classes.distinct(np.concatenate(list(classes.walk(own, seed_of, [first, second]))))
+    for piece in (1, 7):
+        monkeypatch.setattr(classes, "PIECE", piece)
+        parts = list(classes.walk(own, seed_of, [first, second]))
+        assert len(parts) > 10 and np.array_equal(classes.distinct(np.concatenate(parts)), whole)
+
+
 def test_executor_side_canonicality_and_hooks(spark):
     collection = [of_code(t) for t in LABELLED]
     levels = []
