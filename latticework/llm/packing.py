@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +40,10 @@ NUMBERS = "0-9²³¹¼½¾"
 #: The pre-token pattern of the word vocabulary, over plain code points.
 PRE_TOKEN = rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 
+#: What the vocabulary's pieces have at the end of a word.
+END = "</w>"
+TOGETHER = 512  # pre-tokens that the library encodes as one text
+
 
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit integers; built once per Python worker.
@@ -56,11 +61,28 @@ class WordIds:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find = re.compile(PRE_TOKEN).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
-        self.memo = Memo(self.encode, cap=300_000)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max([0, *self.library.get_vocab().values()]) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith(END)]] = True
+        self.memo = Memo(self.encode_words, cap=300_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_words(self, found: list[str]) -> list[bytes]:
+        """``encode`` of pre-tokens, many in one text: spaces part them, and the last id of each is one that ends a word.
+
+        Should a text have another number of ends, its pre-tokens are encoded one by one.
+        """
+        out: list[bytes] = []
+        for start in range(0, len(found), TOGETHER):
+            part = found[start : start + TOGETHER]
+            (raw,) = self.encode([" ".join(part)])
+            stops = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            whole = len(stops) == len(part) and stops[-1] == len(raw)
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)] if whole else self.encode(part)
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.odd(t) or any(a in t for a in self.added) else self.find(t.lower()) for t in texts]
         known = self.memo.need(set().union(*(c for c in cut if c)))

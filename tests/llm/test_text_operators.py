@@ -782,3 +782,18 @@ def test_lm_places_travel_together(spark, monkeypatch, sizes):
     assert {i: got.get(i, 0.0) for i in range(len(lists))} == pytest.approx({i: expected.get(i, 0.0) for i in range(len(lists))}, abs=1e-3)
     if sizes[1] > 10_000:
         assert lm_scoring.spread(scored, 4, 0).count() <= 3 * (1 + 2 * 4)
+
+
+def test_pre_tokens_are_encoded_many_at_a_time(monkeypatch):
+    """Equal to the library's ids one by one, also where a part isn't one pre-token, with a call for each part."""
+    own = packing.WordIds(vocabulary("word_bpe_49k.json"))
+    found = sorted({x for t in ("It's l'été; don't pay $3.50!! 'tis ½ ß ÿ", "a1b2 \u00ad -- '' s's ¿qué? naïve ſ") for x in own.find(t.lower())})
+    alone = own.encode(found)
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    calls, encode = [], own.encode
+    monkeypatch.setattr(own, "encode", lambda texts: calls.append(len(texts)) or encode(texts))
+    assert own.encode_words(found) == alone
+    assert calls == [1] * -(-len(found) // 7)
+    odd = ["two words", *found[:9], "x"]
+    assert own.encode_words(odd) == encode(odd)
+    assert own.encode_words([]) == []
