@@ -44,6 +44,7 @@ REACH = 3  # tokens on either side that the network sees
 NEAR = 2  # tokens on either side that the memory goes by
 #: Words of letters, digits and underscores; from U+2E80 on, and other than those, single signs.
 SPLIT = re.compile("[^\\W\u2e80-\U0010ffff]+|\\S").findall
+SPACE = re.compile("\\s").search
 PLACES_ALL = 1 << 16  # places of the vocabulary
 GRID = 32
 CLASSES = GRID * GRID
@@ -65,12 +66,91 @@ RATES = (0.01, 0.005, 0.002)
 PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 
-def tokens_of(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens."""
+@functools.cache
+def sign_kinds() -> np.ndarray:
+    """For each code point 0 if it is white space, 1 if words have it, 2 if it is a token of its own; as SPLIT finds."""
+    out = np.full(0x110000, 2, np.uint8)
+    points = np.arange(len(out), dtype="<u4")
+    every = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
+    out[[ord(x) for x in re.findall("\\s", every)]] = 0
+    out[[i for i in range(0x2E80) if len(SPLIT(chr(i) + "a")) == 1 and out[i]]] = 1
+    return out
+
+
+def hashes(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """xxh32 of pieces of raw, step by step for all that are shorter than 16 bytes; the others one by one."""
     import xxhash
 
-    found = SPLIT((text or "").lower())
-    return np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
+    data = raw + bytes(4)
+    octets, words = np.frombuffer(data, np.uint8), np.ndarray(len(raw) + 1, "<u4", data, strides=(1,))
+    one, two, three, four, five = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+    turned = lambda x, n: x << np.uint32(n) | x >> np.uint32(32 - n)
+    out = lengths.astype(np.uint32) + five
+    for k in range(3):
+        at = np.flatnonzero(lengths >= 4 * k + 4)
+        out[at] = turned(out[at] + words[starts[at] + 4 * k] * three, 17) * four
+    for k in range(3):
+        at = np.flatnonzero(lengths & 3 > k)
+        out[at] = turned(out[at] + octets[starts[at] + (lengths[at] & ~3) + k] * five, 11) * one
+    out = (out ^ out >> np.uint32(15)) * two
+    out = (out ^ out >> np.uint32(13)) * three
+    out ^= out >> np.uint32(16)
+    for i in np.flatnonzero(lengths >= 16).tolist():
+        out[i] = xxhash.xxh32_intdigest(raw[starts[i] : starts[i] + lengths[i]])
+    return out
+
+
+def line_tokens(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a line's tokens, and the code points at which they start."""
+    points = np.frombuffer(line.encode("utf-32-le"), "<u4")
+    kind = np.concatenate([[0], sign_kinds().take(points), [0]])
+    word, sign = kind == 1, kind == 2
+    starts = np.flatnonzero((word[1:-1] & ~word[:-2]) | sign[1:-1])
+    ends = np.flatnonzero((word[1:-1] & ~word[2:]) | sign[1:-1]) + 1
+    raw = line.encode()
+    if len(raw) == len(line):
+        return hashes(raw, starts, ends - starts), starts
+    place = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
+    return hashes(raw, place[starts], place[ends] - place[starts]), starts
+
+
+def token_hashes(texts: list[str | None], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, one text after the other, and how many each has.
+
+    Some ``most`` code points are worked on together; a longer text is cut at white space.
+    """
+    tokens, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+    parts: list[str] = []
+    owners: list[int] = []
+
+    def finish() -> None:
+        found, starts = line_tokens("\n".join(parts))
+        ends = np.cumsum([len(x) + 1 for x in parts])
+        np.add.at(counts, owners, np.diff(np.searchsorted(starts, ends), prepend=0))
+        tokens.append(found)
+        parts.clear()
+        owners.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        text, start = (text or "").lower(), 0
+        while start < len(text):
+            space = SPACE(text, start + most)
+            end = space.end() if space else len(text)
+            parts.append(text[start:end])
+            owners.append(i)
+            size, start = size + end - start, end
+            if size >= most:
+                finish()
+                size = 0
+    if parts:
+        finish()
+    return np.concatenate(tokens), counts
+
+
+def tokens_of(text: str | None) -> np.ndarray:
+    """Hashes of a text's tokens."""
+    return token_hashes([text])[0]
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,8 +159,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                ids = [tokens_of(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries(*token_hashes(part.column(1).to_pylist()))], names=["doc_id", "ids"])
 
     rows = map_rows(docs, [(id_col, "doc_id", "long"), (text_col, "text", "string")], run, "doc_id long, ids binary").withColumn("row", F.monotonically_increasing_id())
     return rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int"))
@@ -184,12 +263,13 @@ class Network:
         hidden *= hidden
         back *= 1 - hidden
         out.bias[:] = ones @ back
+        pairs = np.complex64 if self.hidden % 2 == 0 else np.float32  # two numbers are added at a time
         for k in range(2 * REACH):
             at = contexts[:, k].astype(np.uint16)
             by = np.argsort(at, kind="stable")
             ordered = at[by]
             starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            sums, which = np.add.reduceat(back.take(by, 0), starts, axis=0), ordered[starts]
+            sums, which = np.add.reduceat(back.view(pairs).take(by, 0), starts, axis=0).view(np.float32), ordered[starts]
             out.place[k] = np.einsum("nh,nh->h", sums, self.embed[which])
             out.embed[which] += sums * self.place[k]
         return out.flat
@@ -317,8 +397,8 @@ def context_keys(tokens: np.ndarray, at: np.ndarray | None = None) -> np.ndarray
     return key & ~np.uint64(EVERY - 1) | every.astype(np.uint64)
 
 
-def places_asked(tokens: np.ndarray, lengths: np.ndarray, turn: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text's number, place and key of what is asked in a round, in texts that lie one after the other.
+def places_asked(tokens: np.ndarray, lengths: np.ndarray, turn: int, block: int = 1 << 14, keyed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text's number, place and (if keyed) key of what is asked in a round, in texts that lie one after the other.
 
     Contexts are hashed along all texts, a block at a time; those that reach over an end are left out.
     """
@@ -333,7 +413,8 @@ def places_asked(tokens: np.ndarray, lengths: np.ndarray, turn: int, block: int
         at = at[inner]
         texts.append(text[inner])
         places.append(start + at)
-        keys.append(context_keys(own, at))
+        if keyed:
+            keys.append(context_keys(own, at))
     return np.concatenate(texts), np.concatenate(places), np.concatenate(keys)
 
 
@@ -345,7 +426,7 @@ def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 def by_round(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
     """For each round of the memory, the logs of each text's places that are asked in it."""
-    found = [places_asked(tokens, lengths, turn)[:2] for turn in range(EVERY // TOGETHER)]
+    found = [places_asked(tokens, lengths, turn, keyed=False)[:2] for turn in range(EVERY // TOGETHER)]
     return [binaries(logs[at], np.bincount(text, minlength=len(lengths))) for text, at in found]
 
 

@@ -797,3 +797,18 @@ def test_pre_tokens_are_encoded_many_at_a_time(monkeypatch):
     odd = ["two words", *found[:9], "x"]
     assert own.encode_words(odd) == encode(odd)
     assert own.encode_words([]) == []
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 18])
+def test_lm_tokens_are_hashed_together(most, monkeypatch):
+    """Tokens and their hashes are those of the words one by one, wherever texts are cut; no call is made for a short word."""
+    r = random.Random(4)
+    signs = lambda: chr(r.choice([r.randrange(32, 127), r.randrange(0x300), r.randrange(0x2E00, 0x3100), r.randrange(0x10000, 0x11000)]))
+    texts = [None, "", " ", "Σας ΟΔΟΣ", "\x1c\x85a b_1 ½ ²", "日本語 text\u3000c", "😀 ok 😀😀", "İstanbul", "\x00a", *("".join(signs() for _ in range(r.randrange(60))) for _ in range(300))]
+    words = [[xxhash.xxh32_intdigest(w) for w in lm_scoring.SPLIT((t or "").lower())] for t in texts]
+    found, counts = lm_scoring.token_hashes(texts, most)
+    assert found.tolist() == [x for w in words for x in w] and counts.tolist() == [len(w) for w in words]
+    long = ["a" * n + "é" * (n % 3) for n in range(40)]
+    assert lm_scoring.token_hashes(long, most)[0].tolist() == [xxhash.xxh32_intdigest(w) for w in long if w]
+    monkeypatch.setattr(xxhash, "xxh32_intdigest", None)
+    assert len(lm_scoring.token_hashes(["short words only, fifteen bytes"] * 3, most)[0]) == 18
